@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import secret_scan
+from parcela.llm import mixing, secret_scan
 from parcela.llm.common import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,31 @@ def secret_scan_sql() -> str:
 
 
 ORACLES["op1_secret_scan"] = secret_scan_sql()
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document, and the position of its first turn."""
+    mix = mixing.mixed(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.get("turns", F.lit(0))["position"].alias("position"))
+
+
+ORACLES["op6_mixing"] = """
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS most FROM p),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(CAST(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0))
+    / CAST(sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
+t AS (SELECT source, source_size, place, least(CAST(most AS DOUBLE), coalesce(
+    (SELECT level FROM l AS o WHERE o.most > o.level * o.weight ORDER BY o.most / o.weight, o.place LIMIT 1) * weight, CAST(most AS DOUBLE))) AS target FROM l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.place, CAST(floor(t.target) AS BIGINT) AS due,
+    coalesce(CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS begins
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, greatest(0, least(size, due - begins)) AS one, greatest(0, least(size, due - begins - source_size)) AS two, CAST(begins AS DOUBLE) / nullif(due, 0) AS part FROM r),
+z AS (SELECT *, CASE place % 3 WHEN 0 THEN 2.0::DOUBLE * part / (1.5::DOUBLE + sqrt(2.25::DOUBLE + (-2.0)::DOUBLE * part))
+    WHEN 1 THEN 2.0::DOUBLE * part / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * part))
+    ELSE CASE WHEN part * 1.125::DOUBLE < 0.625::DOUBLE THEN 2.0::DOUBLE * (part * 1.125::DOUBLE) / (1.0::DOUBLE + sqrt(1.0::DOUBLE + 2.0::DOUBLE * (part * 1.125::DOUBLE)))
+        ELSE 0.5::DOUBLE + 2.0::DOUBLE * (part * 1.125::DOUBLE - 0.625::DOUBLE) / (1.5::DOUBLE + sqrt(2.25::DOUBLE + (-4.0)::DOUBLE * (part * 1.125::DOUBLE - 0.625::DOUBLE))) END END AS position FROM k)
+SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken, CASE WHEN one > 0 THEN position END AS position FROM z
+"""
