@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import mixing, secret_scan
+from parcela.llm import mixing, secret_scan, token_planes
 from parcela.llm.common import small_batches
 
+#: Where the public tokenizers' vocabularies are.
+TOKENIZERS = os.environ.get("PARCELA_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -86,3 +90,9 @@ z AS (SELECT *, CASE place % 3 WHEN 0 THEN 2.0::DOUBLE * part / (1.5::DOUBLE + s
         ELSE 0.5::DOUBLE + 2.0::DOUBLE * (part * 1.125::DOUBLE - 0.625::DOUBLE) / (1.5::DOUBLE + sqrt(2.25::DOUBLE + (-4.0)::DOUBLE * (part * 1.125::DOUBLE - 0.625::DOUBLE))) END END AS position FROM k)
 SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken, CASE WHEN one > 0 THEN position END AS position FROM z
 """
+
+
+@query
+def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as byte planes and read back: where they start, how many, and their checksum."""
+    return token_planes.stored(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json").withColumnRenamed("key", "doc_id")
