@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import mixing, secret_scan, token_planes
+from parcela.llm import lang_id, mixing, secret_scan, token_planes
 from parcela.llm.common import small_batches
 
 #: Where the public tokenizers' vocabularies are.
@@ -96,3 +96,11 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken, CA
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as byte planes and read back: where they start, how many, and their checksum."""
     return token_planes.stored(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json").withColumnRenamed("key", "doc_id")
+
+
+@query
+def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by machines that learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = lang_id.identified(docs, lang_id.learned(docs))
+    return found.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
