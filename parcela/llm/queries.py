@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import lang_id, mixing, secret_scan, token_planes
+from parcela.llm import lang_id, mixing, secret_scan, token_planes, warc
 from parcela.llm.common import small_batches
 
 #: Where the public tokenizers' vocabularies are.
@@ -104,3 +104,19 @@ def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = lang_id.identified(docs, lang_id.learned(docs))
     return found.select("doc_id", lang_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written as a WARC record and read back."""
+    return warc.archived(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size FROM pages),
+m AS (SELECT digest, max(page_id) AS first FROM p WHERE size >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+    CASE WHEN size >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN m USING (digest)
+"""
