@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import lang_id, mixing, secret_scan, token_planes, warc
+from parcela.llm import lang_id, license_scan, mixing, secret_scan, token_planes, warc
 from parcela.llm.common import small_batches
 
 #: Where the public tokenizers' vocabularies are.
@@ -120,3 +120,12 @@ SELECT page_id, size AS payload_bytes, digest AS payload_digest,
     CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p LEFT JOIN m USING (digest)
 """
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest, the known licence that it is, and those of its lines."""
+    return license_scan.licensed(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_license_scan"] = license_scan.licensed_sql()
