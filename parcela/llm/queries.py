@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import fingerprints, lang_id, license_scan, mixing, secret_scan, token_planes, warc
+from parcela.llm import fingerprints, lang_id, license_scan, mixing, pieces, secret_scan, token_planes, warc
 from parcela.llm.common import small_batches
 
 #: Where the public tokenizers' vocabularies are.
@@ -135,3 +135,9 @@ ORACLES["op2_license_scan"] = license_scan.licensed_sql()
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and its edited text's, and how near they and the next document's are."""
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids, and whether decoding them gives the text again."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
