@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import fingerprints, lang_id, license_scan, mixing, pieces, secret_scan, token_planes, warc
+from parcela.llm import fingerprints, lang_id, license_scan, mixing, order_minhash, pieces, secret_scan, token_planes, warc
 from parcela.llm.common import small_batches
 
 #: Where the public tokenizers' vocabularies are.
@@ -141,3 +141,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SentencePiece ids, and whether decoding them gives the text again."""
     return pieces.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of near duplicates that it belongs to (its smallest doc_id)."""
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
