@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents are long, so the default of 10,000 rows would hold too much text at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,20 +15,23 @@ that failed or ran twice never reach it, so files that only they wrote are ignor
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import scratch, sized_parts, text_or_empty
+from parcela.llm.common import range_part, scratch, sized_parts, text_or_empty
 
 MAGIC = b"PLN1"
 BLOCK_IDS = 1 << 16
@@ -38,7 +41,9 @@ INDEX_ROW = struct.Struct("<QII")
 TAIL = struct.Struct("<QI4s")
 END_ID = 1
 #: Distinct words whose ids a worker remembers, and bytes of text that it splits at a time.
-WORDS_KEPT, PART_BYTES = 600_000, 4_000_000
+WORDS_KEPT, PART_BYTES = 600_000, 2_000_000
+#: A word of letters and one of these is two words to a tokenizer that cuts words from signs.
+MARKS = ".,;:!?"
 
 #: Python's split() cuts at these, the tokenizer does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -135,42 +140,96 @@ class WordEncoder:
     """The tokenizers library's ids of whole texts, for tokenizers whose pieces never cross white space.
 
     The texts are cut at white space, the library encodes the distinct words, and their ids are put together again; ids of
-    frequent words are remembered. Texts with characters that only Python takes for white space are encoded as they are. The
-    result equals encoding the whole texts, which the tests check.
+    words met lately are remembered. Texts with characters that only Python takes for white space are encoded as they are.
+    The result equals encoding the whole texts, which the tests check.
     """
 
     def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks already use all cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in one array, and the count of each."""
-        known, split = self.known, [None if NOT_SPACE.search(t) else t.split() for t in texts]
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list({w for words in split if words for w in words if w not in known})
-        for first in range(0, len(new), 20_000):
-            some = new[first : first + 20_000]
-            for word, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        whole = lambda text: np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        each = [whole(t) if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
-        return np.frombuffer(b"".join(each), "<u4"), np.fromiter((len(e) // 4 for e in each), np.int64, len(each))
+        self.tokenizer, self.recent, self.older = Tokenizer.from_file(vocabulary), {}, {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        for piece, i in pieces.items():
+            self.ends[i] = bool(suffix) and piece.endswith(suffix)
+        self.marks = {m: self.codes([m])[0] for m in MARKS} if suffix else {}
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def letter_codes(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words of letters alone, which are one word to the tokenizer, so that one id of each
+        ends a word: encoded as one text, and cut there."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return self.codes(words)
+        data, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of these words among the recent ones."""
+        recent, older, plain, odd = self.recent, self.older, [], []
+        for word in words:
+            if (code := older.get(word)) is not None:
+                recent[word] = code
+            elif self.marks and word.isalpha() and (word.isascii() or word.lower().isalpha()):
+                plain.append(word)
+            else:
+                odd.append(word)
+        for some, encode in ((odd, self.codes), (plain, self.letter_codes)):
+            for first in range(0, len(some), 500):
+                recent.update(zip(some[first : first + 500], encode(some[first : first + 500]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as u32, little-endian."""
+        if len(self.recent) > WORDS_KEPT:
+            self.recent, self.older = {}, self.recent
+        recall, marks, rows, missing = self.recent.get, self.marks, [], []
+        for text in texts:
+            if NOT_SPACE.search(text):
+                rows.append([array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()])
+                continue
+            words = text.split()
+            codes = list(map(recall, words))
+            rows.append(codes)
+            if None in codes:
+                for i, code in enumerate(codes):
+                    if code is None:
+                        word = words[i]
+                        if (mark := marks.get(word[-1])) and (core := word[:-1]).isalpha():
+                            word = core  # remembered without its mark
+                            code = recall(core)
+                        else:
+                            mark = b""
+                        if code is None:
+                            missing.append((codes, i, word, mark))
+                        else:
+                            codes[i] = code + mark
+        self.learn({word for _, _, word, _ in missing})
+        for codes, i, word, mark in missing:
+            codes[i] = recall(word) + mark
+        return [b"".join(codes) for codes in rows]
+
+
+@cache
+def encoder(vocabulary: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(vocabulary)
 
 
 def tokenised(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
     """key and ids (binary, u32 little-endian, with the end id) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        end = b"" if end_id is None else array("I", [end_id]).tobytes()
         for batch in batches:
             for first, last in sized_parts(batch.column(1), PART_BYTES):
                 part = batch.slice(first, last - first)
-                ids, counts = encoder.encode(part.column(1).to_pylist())
-                data, ends = ids.tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4
-                rows = [data[a:b] + end for a, b in zip(ends, ends[1:], strict=False)]
+                rows = [ids + end for ids in encoder(vocabulary).encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["key", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, "key long, ids binary")
@@ -179,26 +238,27 @@ def tokenised(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
 CONTENTS = "key long, part int, file string, file_at int, first long, n long"
 
 
-def write_planes(rows: DataFrame, path: str, block_ids: int = BLOCK_IDS, plane_bits: int = 8, file_ids: int = FILE_IDS) -> DataFrame:
+def write_planes(rows: DataFrame, part: Column, path: str, block_ids: int = BLOCK_IDS, plane_bits: int = 8, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes rows(key, ids) as files of planes below the path, in ascending order of key; returns the table of contents.
 
-    Null keys come first; rows with one key lie side by side, those with fewer ids first. Parts are ranges of keys, so no
-    task needs more than one block of ids and one row in memory.
+    Null keys come first; rows with one key lie side by side, those with fewer ids first. part numbers ranges of keys in
+    order (see range_part()); a task holds one block of ids and one row in memory.
     """
     spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(path)
         system.create_dir(base, recursive=True)
-        writer, name, file_at = None, "", -1
+        writer, name, file_at, of = None, "", -1, None
         for batch in batches:
             out = []
             for key, part, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids = np.frombuffer(ids.as_buffer(), "<u4")
-                if writer is None or writer.n and writer.n + len(ids) > file_ids:
+                if writer is None or part != of or writer.n and writer.n + len(ids) > file_ids:
                     if writer:
                         writer.close()
-                    file_at, name = file_at + 1, f"part-{part:05d}-{file_at + 1:03d}-{uuid.uuid4().hex}.planes"
+                    file_at, of = file_at + 1 if part == of else 0, part
+                    name = f"part-{part:05d}-{file_at:03d}-{uuid.uuid4().hex}.planes"
                     writer = PlaneWriter(system.open_output_stream(f"{base}/{name}"), block_ids, plane_bits)
                 out.append((key, part, name, file_at, writer.n, len(ids)))
                 writer.add(ids)
@@ -206,8 +266,9 @@ def write_planes(rows: DataFrame, path: str, block_ids: int = BLOCK_IDS, plane_b
         if writer:
             writer.close()
 
-    ordered = rows.repartitionByRange("key", F.length("ids")).sortWithinPartitions("key", F.length("ids"), "ids")
-    contents = ordered.select("key", F.spark_partition_id().alias("part"), "ids").mapInArrow(run, CONTENTS)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("part", "key", F.length("ids"), "ids")
+    contents = ordered.select("key", "part", "ids").mapInArrow(run, CONTENTS)
     contents.write.parquet(f"{path}/contents")
     return spark.read.schema(CONTENTS).parquet(f"{path}/contents")
 
@@ -245,12 +306,14 @@ def read_planes(contents: DataFrame, path: str) -> DataFrame:
                 counts.append(count)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    rows = contents.select("key", "start", "file", "first", "n").repartition("file").sortWithinPartitions("file", "first")
+    parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are small, what they lead to isn't
+    rows = contents.select("key", "start", "file", "first", "n").repartition(parts, "file").sortWithinPartitions("file", "first")
     return rows.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", path: str | None = None, **layout) -> DataFrame:
     """Tokenises all rows, writes the files, and reads every document back: key, start, n_tokens and ids_crc32."""
-    path = path or scratch(docs.sparkSession, "planes")
-    contents = write_planes(tokenised(docs, vocabulary, key, text), path, **layout)
+    spark = docs.sparkSession
+    path, parts = path or scratch(spark, "planes"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    contents = write_planes(tokenised(docs, vocabulary, key, text), range_part(docs.select(F.col(key).alias("key")), "key", parts), path, **layout)
     return read_planes(with_starts(contents), path)
