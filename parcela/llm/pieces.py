@@ -33,8 +33,9 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 #: Characters after which the pass looks for a boundary where all paths meet.
 STRIDE = 256
+ONE = (1,)
 #: Words and pairs of pieces that a worker remembers, and bytes of text encoded at a time.
-WORDS_KEPT, PAIRS_KEPT, PART_BYTES = 350_000, 500_000, 4_000_000
+WORDS_KEPT, PAIRS_KEPT, PART_BYTES = 600_000, 500_000, 2_000_000
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -86,11 +87,14 @@ class Pieces:
         self.names, self.prefix = names, prefix
         self.ids = {p: i for i, (p, k) in enumerate(zip(names, self.kinds, strict=True)) if k == 1}
         self.longest = max(map(len, self.ids), default=1)
-        #: Lengths, longest first, of the pieces that end with these two characters (and 1).
+        #: Lengths, longest first, of the pieces that end with these three (or two) characters; 1 always.
         ends: dict[str, set[int]] = {}
         for p in self.ids:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {end: tuple(sorted(x | {1}, reverse=True)) for end, x in ends.items() if len(end) == 2}
+            ends.setdefault(p[-3:], {1}).add(len(p))
+        for end, found in ends.items():
+            if len(end) == 3 and end[1:] in self.ids:
+                found.add(2)
+        self.lengths = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items() if len(end) > 1}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         if fallback:
             self.bytes_of = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(names, self.kinds, strict=True)) if k == BYTE}
@@ -123,66 +127,67 @@ class Pieces:
             known = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
 
-    def best_bpe(self, text: str, at: int, end: int, state: dict) -> None:
-        """Extends the pieces and pointers of state from boundary at to end."""
-        ids, lengths, pairs, pieces, begins, first = self.ids, self.lengths.get, self.pairs, state["pieces"], state["begins"], state["first"]
-        for i in range(at + 1, end + 1):
-            for n in lengths(text[i - 2 : i], (1,)) if i > 1 else (1,):
+    def best_bpe(self, text: str, first: int, end: int, pieces: list[str], begins: list[int], totals: list[float]) -> None:
+        """Extends the piece and pointer of each boundary to that one; boundary i stands at i - first in the lists."""
+        ids, lengths, pairs = self.ids, self.lengths.get, self.pairs.get
+        for i in range(first + len(pieces), end + 1):
+            for n in lengths(text[i - 3 : i] if i > 2 else text[:i]) or lengths(text[i - 2 : i] if i > 1 else "", ONE):
                 if (j := i - n) < first:
                     continue
                 piece = text[j:i]
                 if n == 1 or piece in ids:
-                    before = pieces[j]
-                    ok = pairs.get((before, piece))
+                    ok = pairs((before := pieces[j - first], piece))
                     if ok or ok is None and self.may_follow(before, piece):
-                        pieces[i], begins[i] = piece, j
+                        pieces.append(piece)
+                        begins.append(j)
                         break
 
-    def best_unigram(self, text: str, at: int, end: int, state: dict) -> None:
-        ids, longest, pieces, begins, totals, first = self.ids, self.longest, state["pieces"], state["begins"], state["totals"], state["first"]
-        for i in range(at + 1, end + 1):
+    def best_unigram(self, text: str, first: int, end: int, pieces: list[str], begins: list[int], totals: list[float]) -> None:
+        ids = self.ids
+        for i in range(first + len(pieces), end + 1):
             best = None
-            for j in range(max(first, i - longest), i):
+            for j in range(max(first, i - self.longest), i):
                 piece = text[j:i]
                 k = ids.get(piece)
                 if k is None and j < i - 1:
                     continue
-                total = totals[j] + (self.least if k is None else self.scores[k])
+                total = totals[j - first] + (self.least if k is None else self.scores[k])
                 if best is None or total > best[0]:
                     best = total, piece, j
-            totals[i], pieces[i], begins[i] = best
+            totals.append(best[0])
+            pieces.append(best[1])
+            begins.append(best[2])
 
-    def segments(self, text: str) -> Iterator[str]:
+    def segments(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text (with space marks), committed as soon as they are certain."""
-        state = {"pieces": {0: ""}, "begins": {}, "totals": {0: 0.0}, "first": 0}
-        pieces, begins = state["pieces"], state["begins"]
-        for at in range(0, len(text), STRIDE):
-            end = min(at + STRIDE, len(text))
-            self.best(text, at, end, state)
-            live = {end} if end == len(text) else set(range(max(state["first"], end - self.longest + 1), end + 1))
+        pieces, begins, totals, first = [""], [0], [0.0], 0
+        for end in (*range(STRIDE, len(text), STRIDE), len(text)):
+            self.best(text, first, end, pieces, begins, totals)
+            live = {end} if end == len(text) else set(range(max(first, end - self.longest + 1), end + 1))
             while len(live) > 1:
-                live.add(begins[far]) if (far := max(live)) > state["first"] else None
+                far = max(live)
                 live.remove(far)
-            meet = live.pop()
-            path, i = [], meet
-            while i > state["first"]:
-                path.append(pieces[i])
-                i = begins[i]
-            yield from reversed(path)
-            for i in range(state["first"], meet):
-                pieces.pop(i, None), begins.pop(i, None), state["totals"].pop(i, None)
-            state["first"] = meet
+                live.add(begins[far - first])
+            i = meet = live.pop()
+            path = []
+            while i > first:
+                path.append(pieces[i - first])
+                i = begins[i - first]
+            yield path[::-1]
+            del pieces[: meet - first], begins[: meet - first], totals[: meet - first]
+            first = meet
 
     def segment_ids(self, text: str) -> bytes:
-        out = array("i")
-        for piece in self.segments(text):
-            if (i := self.ids.get(piece)) is not None:
-                out.append(i)
-            elif self.bytes_of:
-                out.extend(self.bytes_of[b] for b in piece.encode("utf-8", "surrogatepass"))
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out.tobytes()
+        out, ids = [], self.ids.get
+        for path in self.segments(text):
+            for piece in path:
+                if (i := ids(piece)) is not None:
+                    out.append(i)
+                elif self.bytes_of:
+                    out.extend(self.bytes_of[b] for b in piece.encode("utf-8", "surrogatepass"))
+                elif not out or out[-1] != self.unknown:
+                    out.append(self.unknown)
+        return array("i", out).tobytes()
 
     def word_ids(self, word: str, text: str) -> bytes:
         """The ids of the text that this word stands for, remembered."""
