@@ -5,10 +5,14 @@ order, so two texts agree on a sketch if they share these k-mers in that order,
 a k-mer is a run of KMER words; a k-mer that comes again counts as another one (its occurrence is part of what is hashed).
 
 Exact copies are one node. Nodes that agree on a sketch share a bucket. In a bucket every node is compared with one of
-them, the hub, never with all: copies of one text thus cost one comparison each. Nodes that turn out unlike their hub
-elect another among themselves in the next round, as long as the last round found links. The links' connected components
-are the classes. A pair is a link if its alignment over words, by Levenshtein's distance, leaves a similarity of at least
-SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the distance allowed, in bit vectors.
+them, the hub, never with all: copies of one text thus cost one comparison each. A passage that many unlike texts share
+fills buckets too; the k-mers of sketches that brought a node together with an unlike hub are therefore left out of the
+next round, in which such nodes are sketched and compared anew, as long as the last round found links. These k-mers are
+held in a filter of a fixed number of bits; a bit that two k-mers share leaves out both, in all texts alike.
+
+The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
+leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
+distance allowed, in bit vectors.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from parcela.llm.common import drop_path, list_array, scratch, sized_parts, text
 KMER, MINIMA, SKETCHES = 5, 2, 32
 SIMILARITY = 0.8
 PART_BYTES = 1_500_000
+#: Bits of the filter of k-mers to leave out, as a power of two.
+FILTER_BITS = 24
 #: Ids that are broadcast to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -73,11 +79,11 @@ def usual_powers(base: int) -> np.ndarray:
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case words of all texts, one after the other, and each text's number of words."""
+    """The lower-case words of all texts as 32-bit hashes, one after the other, and each text's number of words."""
     lower = [t.lower() for t in texts]
     codes = np.frombuffer("\0".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
     kind = kinds()[codes]
     before = np.append(0, kind[:-1])
     starts = np.flatnonzero((kind > 0) & ((before != 1) | (kind == 2)))
@@ -86,7 +92,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(codes)
     up, down = (usual_powers(b)[:n] if n <= 1 << 21 else powers(b, n) for b in (BASE, INVERSE))
     sums = np.append(np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up))
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    hashes = (mixed((sums[ends] - sums[starts]) * down[starts]) >> np.uint64(32)).astype(np.uint32)
     bounds = np.cumsum([len(t) + 1 for t in lower])
     return hashes, np.diff(np.append(0, np.searchsorted(starts, bounds)))
 
@@ -96,7 +102,7 @@ def kmers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = np.repeat(np.cumsum(counts), counts)
     place = np.arange(len(hashes))
     total = np.zeros(len(hashes), np.uint64)
-    padded = np.append(hashes, np.zeros(KMER, np.uint64))
+    padded = np.append(mixed(hashes.astype(np.uint64)), np.zeros(KMER, np.uint64))
     for k in range(KMER):
         total += np.where(place + k < ends, padded[k : k + len(hashes)] * TURNS[k], np.uint64(0))
     begins = ends - np.repeat(counts, counts)
@@ -104,16 +110,29 @@ def kmers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed(total[valid]), np.maximum(counts - KMER + 1, 1)
 
 
-def sketches(texts: list[str], n_sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches of every text, one row each, and its number of words. Texts without words have rows of zeros."""
-    hashes, counts = words(texts)
-    out = np.zeros((len(texts), n_sketches), np.uint64)
+def filter_places(mers: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each k-mer in the filter."""
+    return [(mers >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1) for shift in (0, 64 - FILTER_BITS)]
+
+
+def sketches(hashes: np.ndarray, counts: np.ndarray, n_sketches: int = SKETCHES, without: np.ndarray | None = None) -> np.ndarray:
+    """The sketches of every text, MINIMA k-mers each, in one row. Texts without words have rows of zeros.
+
+    without: the filter, as 64-bit words, of k-mers to leave out; a text with no others keeps all of its own.
+    """
+    out = np.zeros((len(counts), n_sketches, MINIMA), np.uint64)
     filled = np.flatnonzero(counts)
     if not len(filled):
-        return out, counts
+        return out
     mers, sizes = kmers(hashes, counts[filled])
-    of = np.repeat(np.arange(len(filled)), sizes)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    if without is not None:
+        stay = ~np.logical_and.reduce([without[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1 for p in filter_places(mers)])
+        left = np.add.reduceat(stay.astype(np.int64), begins)
+        stay |= np.repeat(left == 0, sizes)
+        mers, sizes = mers[stay], np.where(left == 0, sizes, left)
+        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    of = np.repeat(np.arange(len(filled)), sizes)
     own = mers ^ mixed(of.astype(np.uint64) + np.uint64(1))
     order = np.argsort(own, kind="stable")
     again = np.append(False, own[order][1:] == own[order][:-1])
@@ -136,12 +155,9 @@ def sketches(texts: list[str], n_sketches: int = SKETCHES) -> tuple[np.ndarray,
         for _ in range(MINIMA):
             places.append(smallest(values))
             values[places[-1]] = top
-        places = np.sort(np.stack(places), axis=0)
-        value = np.full(len(filled), np.uint64(s + 1))
-        for row in places:
-            value = mixed(value * np.uint64(BASE) + mers[row])
-        out[filled, s] = value
-    return out, counts
+        for k, row in enumerate(np.sort(np.stack(places), axis=0)):
+            out[filled, s, k] = mers[row]
+    return out
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -205,27 +221,43 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return 1 - distance / longer if distance <= most else 0.0
 
 
-SKETCHED = "key long, node binary, sketches array<long>"
+SKETCHED = "key long, node binary, n int, sketches array<long>"
+
+
+def sketch_lists(hashes: np.ndarray, counts: np.ndarray, n_sketches: int, without: np.ndarray | None = None) -> pa.ListArray:
+    some = counts > 0
+    return list_array(sketches(hashes, counts, n_sketches, without)[some].view(np.int64).ravel(), some * (n_sketches * MINIMA))
 
 
 def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", n_sketches: int = SKETCHES) -> DataFrame:
-    """key, node (digest of the text) and sketches (none for a text without words) of every row."""
+    """key, node (digest of the text), n (words) and sketches (none for a text without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last in sized_parts(batch.column(1), PART_BYTES):
                 part = batch.slice(first, last - first)
                 texts = part.column(1).to_pylist()
-                rows, counts = sketches(texts, n_sketches)
+                hashes, counts = words(texts)
                 nodes = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-                some = counts > 0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), list_array(rows[some].view(np.int64).ravel(), some * n_sketches)], ["key", "node", "sketches"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), sketch_lists(hashes, counts, n_sketches)], ["key", "node", "n", "sketches"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, SKETCHED)
 
 
+def sketched_again(texts: DataFrame, n_sketches: int, without: np.ndarray) -> DataFrame:
+    """node, n and sketches of texts(node, words), without the k-mers of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]
+            counts = np.array([len(r) for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), sketch_lists(np.concatenate(rows), counts, n_sketches, without)], ["node", "n", "sketches"])
+
+    return texts.select("node", "words").mapInArrow(run, "node binary, n int, sketches array<long>")
+
+
 def word_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node and words (binary, u64) of the wanted nodes' texts; wanted(node, key) has the key of one row of each."""
+    """node and words (binary, u32) of the wanted nodes' texts; wanted(node, key) has the key of one row of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,16 +275,35 @@ def word_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs(node, hub) with alike: whether their similarity is at least so much."""
+    """The pairs(node, hub) whose similarity is at least so much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("one", "other"))
-            alike = [similarity(a, b, least) > 0 for a, b in zip(one, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("hub"), pa.array(alike, pa.bool_())], ["node", "hub", "alike"])
+            one, other = ([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(c)] for c in ("one", "other"))
+            alike = pa.array([similarity(a, b, least) > 0 for a, b in zip(one, other, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(alike), batch.column("hub").filter(alike)], ["node", "hub"])
 
     joined = pairs.join(texts.withColumnRenamed("words", "one"), "node").join(texts.select(F.col("node").alias("hub"), F.col("words").alias("other")), "hub")
-    return joined.select("node", "hub", "one", "other").mapInArrow(run, "node binary, hub binary, alike boolean")
+    return joined.select("node", "hub", "one", "other").mapInArrow(run, "node binary, hub binary")
+
+
+def filter_of(mers: DataFrame, before: np.ndarray | None) -> np.ndarray:
+    """The filter of these k-mers (column mer) and those before: at most 2 ** FILTER_BITS / 64 rows come to the driver."""
+    mask = F.lit((1 << FILTER_BITS) - 1)
+    places = F.explode(F.array(F.col("mer").bitwiseAND(mask), F.shiftrightunsigned("mer", 64 - FILTER_BITS)))
+    held = mers.select(places.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << FILTER_BITS - 6, np.uint64) if before is None else before.copy()
+    for r in held.collect():
+        out[r["at"]] |= np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def condensed(links: DataFrame) -> DataFrame:
+    """Links that join the same nodes, with one for each node and one for each pair of hubs that share a node: a node's
+    hubs, no more than the sketches of all rounds, are joined to the smallest of them."""
+    each = links.groupBy("node").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs"))
+    hubs = each.select(F.explode("hubs").alias("node"), F.col("low").alias("hub")).where("node != hub").distinct()
+    return each.select("node", F.col("low").alias("hub")).union(hubs)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -288,29 +339,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     class has a key. Repeated rows each keep their row; an empty table gives an empty result.
     """
     rows = written(sketched(docs, key, text, n_sketches), "sketched")
-    nodes = rows.groupBy("node").agg(F.min("key").alias("key"), F.first("sketches").alias("sketches"))
-    members = nodes.select("node", F.explode("sketches").alias("bucket"))
-    shared = written(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
-    members = written(members.join(shared, "bucket").where("node != hub"), "members")
     keys = rows.groupBy("node").agg(F.min("key").alias("key"))
-    tested, texts = None, None
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    links, tested, texts, without = None, None, None, None
     while True:
-        pairs = members.select("node", "hub").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.drop("alike"), ["node", "hub"], "left_anti")
-        else:
-            wanted = written(pairs.select("node").union(pairs.select("hub")).distinct().join(keys, "node"), "wanted")
-            texts = written(word_rows(docs, wanted, key, text), "words")
-        found = written(aligned(pairs, texts, least), "pairs")
-        tested = found if tested is None else tested.union(found)
-        if found.where("alike").limit(1).count() == 0:
-            break
-        left = members.join(tested.where("not alike").drop("alike"), ["node", "hub"], "left_semi").select("bucket", "node")
-        hubs = left.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        members = written(left.join(written(hubs, "hubs"), "bucket").where("node != hub"), "members")
-        if members.limit(1).count() == 0:
+        each = F.transform(F.sequence(F.lit(0), F.lit(n_sketches - 1)), lambda s: F.struct(s.alias("s"), *[F.get("sketches", s * MINIMA + k).alias(f"m{k}") for k in range(MINIMA)]))
+        mers = [f"m{k}" for k in range(MINIMA)]
+        members = nodes.where(F.size("sketches") > 0).select("node", "n", F.explode(each).alias("e")).select("node", "n", "e.*")
+        members = members.select("node", "n", *mers, F.xxhash64("s", *mers).alias("bucket"))
+        hubs = written(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("count")).where("count > 1").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+        members = written(members.join(hubs, "bucket").where("node != hub").drop("bucket"), "members")
+        if texts is None:
+            wanted = members.select("node").union(members.select("hub")).distinct().join(keys, "node")
+            texts = written(word_rows(docs, written(wanted, "wanted"), key, text), "words")
+        near = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
+        pairs = members.where(near).select("node", "hub").distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["node", "hub"], "left_anti"), "pairs")
+        found = written(aligned(pairs, texts, least), "found")
+        more = found.limit(1).count() > 0
+        links, tested, first = (found, pairs, True) if links is None else (links.union(found), tested.union(pairs), False)
+        unlike = members.join(links, ["node", "hub"], "left_anti")
+        if not (more or first) or unlike.limit(1).count() == 0:
             break
-    labels = components(tested.where("alike").select("node", "hub"))
+        without = filter_of(unlike.select(F.explode(F.array(*mers)).alias("mer")).distinct(), without)
+        nodes = written(sketched_again(texts.join(unlike.select("node").distinct(), "node", "left_semi"), n_sketches, without), "nodes")
+    labels = components(written(condensed(links), "links"))
     named = labels.join(keys, "node").groupBy("label").agg(F.min("key").alias("class_id"))
     linked = written(labels.join(named, "label").select("node", "class_id"), "linked")
     classes = written(keys.join(linked, "node", "left").select("node", F.coalesce("class_id", "key").alias("class_id")), "classes")
