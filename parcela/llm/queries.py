@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm import fingerprints, lang_id, license_scan, mixing, order_minhash, pieces, secret_scan, token_planes, warc
+from parcela.llm import fingerprints, lang_id, license_scan, mixing, neighbours, order_minhash, pieces, secret_scan, token_planes, warc
 from parcela.llm.common import small_batches
 
 #: Where the public tokenizers' vocabularies are.
@@ -147,3 +147,9 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of near duplicates that it belongs to (its smallest doc_id)."""
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), 20, lambda key: key % 20 == 0)
