@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import scratch
+from parcela.sources.shared import scratch
 
 REVISIT_BYTES = 1000
 #: An archive is closed once it has so many bytes.
@@ -173,7 +173,8 @@ def read_records(index: DataFrame, path: str, with_payload: bool = True) -> Data
                     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in READ.split(", ")])
 
-    ordered = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the index rows are small, the records aren't
+    ordered = index.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, READ)
 
 
