@@ -25,7 +25,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import scratch, written
+from parcela.llm.common import written
+from parcela.sources.shared import scratch
 
 #: Neighbours of a node, nodes that are compared for the first graph, and orders in which they lie together.
 DEGREE, CHUNK, ORDERS = 32, 300, 4
@@ -79,8 +80,8 @@ def packed_rows(key: np.ndarray, *columns: np.ndarray) -> list[tuple]:
     """One tuple for each value of key: the value, and the bytes of the columns' rows that have it."""
     order = np.argsort(key, kind="stable")
     key, columns = key[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else []
-    ends = [*cuts[1:], len(key)]
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    ends = np.append(cuts[1:], len(key))[: len(cuts)]
     return [(int(key[a]), *[np.ascontiguousarray(c[a:b]).tobytes() for c in columns]) for a, b in zip(cuts, ends, strict=True)]
 
 
@@ -149,7 +150,7 @@ def merge(new: pa.Table, old: pa.Table) -> pa.Table:
     block = (new if new.num_rows else old).column("block")[0].as_py()
     node, other, score = joined(new, "nodes", np.int64), joined(new, "others", np.int64), joined(new, "scores", np.float32)
     before = np.full((BLOCK, DEGREE), -1)
-    if old.num_rows:
+    if len(joined(old, "ids", np.int64)):
         before, values = joined(old, "ids", np.int64).reshape(BLOCK, DEGREE), joined(old, "scores", np.float32).reshape(BLOCK, DEGREE)
         at, k = np.nonzero(before >= 0)
         node, other, score = np.concatenate([node, at + block * BLOCK]), np.concatenate([other, before[at, k]]), np.concatenate([score, values[at, k]])
@@ -313,12 +314,13 @@ def build(vectors: DataFrame, dims: int) -> Index:
     facts = facts.agg(F.max("longest").alias("longest"), *[F.sum(F.get("total", F.lit(i))).alias(f"d{i}") for i in range(dims)]).first()
     augment, middle = float(np.sqrt(facts["longest"])), np.array([facts[f"d{i}"] for i in range(dims)]) / n
     nodes = written(numbered(placed(vectors, dims, 0, n, middle), parts), "nodes")
-    pairs = nodes.repartitionByRange(parts, "ord").sortWithinPartitions("ord").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL)
+    dealt = lambda rows, *by: (rows.coalesce(1) if n <= 2 * CHUNK else rows.repartitionByRange(min(parts, n // (2 * CHUNK)), *by)).sortWithinPartitions(*by)
+    pairs = dealt(nodes, "ord").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL)
     for order in range(1, ORDERS if n > CHUNK else 1):
-        sides = placed(nodes.select("ord", "vec"), dims, order, n, middle).repartitionByRange(parts, "side", "along").sortWithinPartitions("side", "along")
+        sides = dealt(placed(nodes.select("ord", "vec"), dims, order, n, middle), "side", "along")
         pairs = pairs.union(sides.select("ord", "vec").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL))
     blocks = written(nodes.groupBy(F.floor(F.col("ord") / BLOCK).alias("block")).applyInArrow(block_vectors, "block long, vectors binary, names binary"), "blocks")
-    none = spark.createDataFrame([], GRAPH_SQL)
+    none = blocks.select("block", F.lit(b"").alias("ids"), F.lit(b"").alias("scores"), F.lit(0).cast("long").alias("changed"))
     graph = written(pairs.groupBy("block").cogroup(none.groupBy("block")).applyInArrow(merge, GRAPH_SQL), "graph")
     still, around = n > CHUNK, None
     for k in range(ROUNDS + 1):
@@ -333,7 +335,7 @@ def build(vectors: DataFrame, dims: int) -> Index:
         graph = written(pairs.groupBy("block").cogroup(graph.groupBy("block")).applyInArrow(merge, GRAPH_SQL), "graph")
         still = graph.agg(F.sum("changed")).first()[0] >= CHANGED * n * DEGREE
     path = scratch(spark, "index")
-    files = blocks.join(around, "block").select("block", "vectors", "around").mapInArrow(block_files(path), "block long")
+    files = blocks.join(around, "block").select("block", "vectors", "names", "around").mapInArrow(block_files(path), "block long")
     written(files, "files")
     return Index(nodes, n, dims, path)
 
@@ -355,10 +357,11 @@ def block_files(path: str) -> callable:
         system, base = fs.FileSystem.from_uri(path)
         system.create_dir(base, recursive=True)
         for batch in batches:
-            for block, vectors, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, vectors, names, around in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 new = f"{base}/{uuid.uuid4().hex}.new"
                 with system.open_output_stream(new) as out:
                     out.write(around)
+                    out.write(names + bytes(BLOCK * 8 - len(names)))
                     out.write(vectors)
                 system.move(new, f"{base}/{block}.block")
             yield pa.RecordBatch.from_arrays([batch.column("block")], ["block"])
@@ -373,20 +376,21 @@ class Blocks:
         self.system, self.base = fs.FileSystem.from_uri(path)
         self.dims, self.kept = dims, OrderedDict()
 
-    def block(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def block(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if number in self.kept:
             self.kept.move_to_end(number)
         else:
             with self.system.open_input_file(f"{self.base}/{number}.block") as source:
                 data = source.read()
-            size = BLOCK * 2 * DEGREE * 8
-            self.kept[number] = np.frombuffer(data, np.int64, size // 8).reshape(BLOCK, 2 * DEGREE), np.frombuffer(data, np.float64, offset=size).reshape(-1, self.dims)
+            around = np.frombuffer(data, np.int64, BLOCK * 2 * DEGREE).reshape(BLOCK, 2 * DEGREE)
+            names = np.frombuffer(data, np.int64, BLOCK, around.nbytes).reshape(BLOCK, 1)
+            self.kept[number] = around, np.frombuffer(data, np.float64, offset=around.nbytes + names.nbytes).reshape(-1, self.dims), names
             if len(self.kept) > KEPT_BLOCKS:
                 self.kept.popitem(last=False)
         return self.kept[number]
 
     def rows(self, ids: np.ndarray, what: int) -> np.ndarray:
-        """Neighbours (0) or vectors (1) of these nodes."""
+        """Neighbours (0), vectors (1) or names (2) of these nodes."""
         out, of = None, ids // BLOCK
         for number in np.unique(of):
             found, here = self.block(int(number))[what], of == number
@@ -397,7 +401,8 @@ class Blocks:
 
 
 def greedy(blocks: Blocks, start: int, query: np.ndarray, beam: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest nodes found from a start, most of them at most, with their inner products; the nearest first."""
+    """The nearest nodes found from a start, most of them at most, with their inner products; the nearest first, of equally
+    near ones that with the smaller name."""
     ids, scores = np.array([start]), blocks.rows(np.array([start]), 1) @ query
     looked, seen = np.zeros(1, bool), np.array([start])
     while not looked.all():
@@ -411,7 +416,9 @@ def greedy(blocks: Blocks, start: int, query: np.ndarray, beam: int, most: int)
             looked = np.concatenate([looked, np.zeros(len(new), bool)])
             order = np.lexsort((ids, -scores))[:beam]
             ids, scores, looked = ids[order], scores[order], looked[order]
-    return ids[:most], scores[:most]
+    scores = (blocks.rows(ids, 1) * query).sum(axis=1)
+    order = np.lexsort((blocks.rows(ids, 2)[:, 0], -scores))[:most]
+    return ids[order], scores[order]
 
 
 def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
@@ -423,10 +430,9 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM) -> DataFr
         for batch in batches:
             columns: tuple[list, list, list] = ([], [], [])
             for query, start, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, _ = greedy(blocks, start, q := np.frombuffer(vec, np.float64), beam, k + 1)
-                columns[0].append(np.full(len(ids), query))
-                columns[1].append(ids)
-                columns[2].append((blocks.rows(ids, 1) * q).sum(axis=1))
+                ids, scores = greedy(blocks, start, np.frombuffer(vec, np.float64), beam, k + 1)
+                for column, values in zip(columns, (np.full(len(ids), query), ids, scores), strict=True):
+                    column.append(values)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["query_id", "ord", "score"])
 
