@@ -43,17 +43,28 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Replaces every secret in the texts by a mark; documents without secrets stay as they are."""
     small_batches(spark)
     found = secret_scan.scan_secrets(docs, keep=COLUMNS)
-    text = F.when(F.size("found") > 0, secret_scan.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("found") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    some = F.size("found") > 0
+    found = found.withColumn("clean", F.when(some, secret_scan.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text")))
+    size = F.when(some, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", F.col("clean").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass over a document that the mix takes, in training order; a last pass has the words it takes."""
-    rows = mixing.training_rows(mixing.mixed(docs, keep=COLUMNS))
+    """A row for each pass over a document that the mix takes, in training order; a last pass has the words it takes.
+
+    The mix is planned over rows without texts; these join their turns afterwards, by digests of the whole row, of which
+    rows that repeat are one.
+    """
+    named = docs.withColumns({f"row_{k}": F.xxhash64(F.lit(k), *COLUMNS) for k in (0, 1)})
+    turns = mixing.training_turns(mixing.mixed(named, keep=("row_0", "row_1")))
+    whole = named.groupBy("row_0", "row_1").agg(*[F.first(c).alias(c) for c in COLUMNS])
+    rows = turns.join(whole, ["row_0", "row_1"]).orderBy("position")
     words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
-    whole = F.col("words") == F.col("size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), ""))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))
+    all_ = F.col("words") == F.col("size")
+    text = F.when(all_, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), ""))
+    rows = rows.withColumn("taken", text)
+    size = F.when(all_, F.col("n_chars")).otherwise(F.length("taken").cast("long"))
+    return rows.select("doc_id", F.col("taken").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

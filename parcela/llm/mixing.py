@@ -104,7 +104,12 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     return out.orderBy(F.get("turns", F.lit(0))["position"].asc_nulls_last(), "digest").select("kept.*", "size", "source_size", "target", "taken", "turns")
 
 
-def training_rows(mix: DataFrame) -> DataFrame:
-    """A row for each pass over each row that the mix takes, range-sorted by position."""
+def training_turns(mix: DataFrame) -> DataFrame:
+    """A row for each pass over each row that the mix takes, with position and words."""
     rows = mix.select("*", F.explode("turns").alias("turn")).drop("turns")
-    return rows.select(*[c for c in rows.columns if c != "turn"], F.col("turn.position").alias("position"), F.col("turn.words").alias("words")).orderBy("position")
+    return rows.select(*[c for c in rows.columns if c != "turn"], F.col("turn.position").alias("position"), F.col("turn.words").alias("words"))
+
+
+def training_rows(mix: DataFrame) -> DataFrame:
+    """training_turns(), range-sorted by position."""
+    return training_turns(mix).orderBy("position")
