@@ -58,12 +58,13 @@ def letters() -> np.ndarray:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts, one row for each n, each column the n-grams that begin at one place; the bounds of
     the texts, which all have a mark before and after; and their letters' counts. Other characters count as one mark."""
-    whole = "\0" + "\0\0".join(texts).lower() + "\0" * NGRAMS
+    lead = "\0" * (NGRAMS - 1)  # so no n-gram of a text reaches into the next
+    whole = lead + ("\0" + lead).join(texts).lower() + "\0" * NGRAMS
     sizes = [len(t) if t.isascii() else len(t.lower()) for t in texts]
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[codes]
     codes = np.where(letter, codes, 0).astype(np.uint32)
-    begins = np.concatenate([[0], np.cumsum(np.array(sizes) + 2)])
+    begins = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + NGRAMS)])
     n = int(begins[-1])
     rows, mix = [], np.zeros(n, np.uint32)
     for k in range(NGRAMS):
