@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from parcela.functions.compile import Compiler
 from parcela.functions.geometry import Geometry
-from parcela.functions.spatial import INTERSECTS, RELATIONS, spatial_condition
+from parcela.functions.rows import holds
+from parcela.functions.spatial import INTERSECTS, RELATIONS, related, spatial_condition
 from parcela.functions.where import FilterError, Node, parse
 
 OID = "OBJECTID"
@@ -105,6 +106,13 @@ class QueryFilter:
             return rows.join(wanted, OID, "left_anti" if negated else "left_semi")
         return rows.where(self.condition(rows.schema, negated, **how))
 
+    def matches_row(self, row: Mapping[str, object], geometry: Geometry | None = None, within: str = "documented") -> bool:
+        """Whether the filter holds for one row (a mapping by field name, with OBJECTID) and its geometry."""
+        if self.oids is not None:
+            return row.get(OID) in self.oids
+        fits = self.spatial is None or related(self.spatial.relation, self.spatial.geometry, geometry, within)
+        return fits and (self.node is None or holds(self.node, row))
+
     def __str__(self) -> str:
         if self.oids is not None:
             return f"{OID} = {self.oids[0]}" if self.single else f"{OID} IN ({','.join(map(str, self.oids))})"

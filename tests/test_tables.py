@@ -153,3 +153,14 @@ def test_streams(spark, workspace, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         streaming.into_table(found, workspace, "T1", str(tmp_path / "c")).awaitTermination()
     assert [(r.OBJECTID, r.Name) for r in workspace.open("T1").cursor()] == [(1, "a"), (2, "b"), (3, "c"), (4, "s")]
+
+
+def test_single_rows(table):
+    """matches_row() says of every row what a search says."""
+    box = g.polygon([(35, -5), (75, -5), (75, 15), (35, 15)])
+    filters = [QueryFilter.all(), QueryFilter.by_oid(3), QueryFilter.by_oids([2, 5]), QueryFilter.intersecting(box), QueryFilter.related(CONTAINS, box)]
+    filters += [QueryFilter.where(t) for t in ("BH > 'n1' AND NOT len = 300", "LEN IN (100, '400', NULL)", "nope IS NULL AND BH <> 5 OR LEN >= ' 2e2 '", "LEN = TRUE OR BH = 'n3'", "LEN < '3x' AND SHAPE IS NOT NULL")]
+    filters += [f.and_related(INTERSECTS, box) for f in filters[5:8]]
+    rows = [(r.asDict(), g.from_row(r.SHAPE)) for r in table.cursor()]
+    for f in filters:
+        assert [r["OBJECTID"] for r, shape in rows if f.matches_row(r, shape)] == table.query_oids(f), str(f)
