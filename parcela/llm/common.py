@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,24 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.sources.shared import scratch
+
 #: Rows in one Arrow batch. Documents are long, so the default of 10,000 rows would hold too much text at once.
 BATCH_ROWS = 500
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="parcela-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and returns it as read again: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, name)
@@ -36,6 +22,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Written tables of one operation, in a folder that is deleted when its result has been written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.n = spark, scratch(spark, name), 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes the result, and deletes the steps."""
+        out = written(df, name)
+        drop_path(self.spark, self.path)
+        return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, whatever store it is in."""
     jvm = spark.sparkContext._jvm

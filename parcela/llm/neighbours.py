@@ -25,8 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import written
-from parcela.sources.shared import scratch
+from parcela.llm.common import Steps
 
 #: Neighbours of a node, nodes that are compared for the first graph, and orders in which they lie together.
 DEGREE, CHUNK, ORDERS = 32, 300, 4
@@ -272,7 +271,7 @@ class Index:
     path: str
 
 
-def usable(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+def usable(rows: DataFrame, key: str, vector: str, steps: Steps) -> tuple[DataFrame, int]:
     """key and vec (binary, 64-bit floats) of the rows that take part, one for each key, and the number of dimensions."""
     rows = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -286,12 +285,12 @@ def usable(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
             x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, dims) + 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "vec"])
 
-    return written(rows.where(F.size("v") == dims).mapInArrow(run, "key long, vec binary"), "vectors"), dims
+    return steps.write(rows.where(F.size("v") == dims).mapInArrow(run, "key long, vec binary")), dims
 
 
-def numbered(rows: DataFrame, parts: int) -> DataFrame:
+def numbered(rows: DataFrame, parts: int, steps: Steps) -> DataFrame:
     """rows(node, vec, side, along) with ord, dense from 0, in the order of side and along."""
-    placed_rows = written(rows.repartitionByRange(parts, "side", "along").sortWithinPartitions("side", "along", "node").select("node", "vec", F.monotonically_increasing_id().alias("at")), "placed")
+    placed_rows = steps.write(rows.repartitionByRange(parts, "side", "along").sortWithinPartitions("side", "along", "node").select("node", "vec", F.monotonically_increasing_id().alias("at")))
     part = F.shiftright("at", 33)
     counts = placed_rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
     before = counts.select("part", (F.coalesce(F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
@@ -299,10 +298,9 @@ def numbered(rows: DataFrame, parts: int) -> DataFrame:
     return here.select((F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"), "node", "vec")
 
 
-def build(vectors: DataFrame, dims: int) -> Index:
+def build(vectors: DataFrame, dims: int, steps: Steps) -> Index:
     """The graph over vectors(node, vec), all different."""
-    spark = vectors.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = vectors.count()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,30 +311,30 @@ def build(vectors: DataFrame, dims: int) -> Index:
     facts = vectors.select("vec").mapInArrow(sums, "total array<double>, longest double")
     facts = facts.agg(F.max("longest").alias("longest"), *[F.sum(F.get("total", F.lit(i))).alias(f"d{i}") for i in range(dims)]).first()
     augment, middle = float(np.sqrt(facts["longest"])), np.array([facts[f"d{i}"] for i in range(dims)]) / n
-    nodes = written(numbered(placed(vectors, dims, 0, n, middle), parts), "nodes")
+    nodes = steps.write(numbered(placed(vectors, dims, 0, n, middle), parts, steps))
     dealt = lambda rows, *by: (rows.coalesce(1) if n <= 2 * CHUNK else rows.repartitionByRange(min(parts, n // (2 * CHUNK)), *by)).sortWithinPartitions(*by)
     pairs = dealt(nodes, "ord").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL)
     for order in range(1, ORDERS if n > CHUNK else 1):
         sides = dealt(placed(nodes.select("ord", "vec"), dims, order, n, middle), "side", "along")
         pairs = pairs.union(sides.select("ord", "vec").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL))
-    blocks = written(nodes.groupBy(F.floor(F.col("ord") / BLOCK).alias("block")).applyInArrow(block_vectors, "block long, vectors binary, names binary"), "blocks")
+    blocks = steps.write(nodes.groupBy(F.floor(F.col("ord") / BLOCK).alias("block")).applyInArrow(block_vectors, "block long, vectors binary, names binary"))
     none = blocks.select("block", F.lit(b"").alias("ids"), F.lit(b"").alias("scores"), F.lit(0).cast("long").alias("changed"))
-    graph = written(pairs.groupBy("block").cogroup(none.groupBy("block")).applyInArrow(merge, GRAPH_SQL), "graph")
+    graph = steps.write(pairs.groupBy("block").cogroup(none.groupBy("block")).applyInArrow(merge, GRAPH_SQL))
     still, around = n > CHUNK, None
     for k in range(ROUNDS + 1):
         back = graph.mapInArrow(reversed_lists, LISTS_SQL)
-        around = written(graph.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(both_ways, "block long, around binary"), "around")
+        around = steps.write(graph.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(both_ways, "block long, around binary"))
         if k == ROUNDS or not still:
             break
         wanted = around.mapInArrow(wanted_vectors, "block long, by long, nodes binary")
         held = blocks.join(graph.select("block", "scores"), "block")
         given = wanted.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(given_vectors(dims, augment), GIVEN_SQL)
         pairs = given.groupBy("block").cogroup(around.groupBy("block")).applyInArrow(local_join(dims), PAIRS_SQL)
-        graph = written(pairs.groupBy("block").cogroup(graph.groupBy("block")).applyInArrow(merge, GRAPH_SQL), "graph")
+        graph = steps.write(pairs.groupBy("block").cogroup(graph.groupBy("block")).applyInArrow(merge, GRAPH_SQL))
         still = graph.agg(F.sum("changed")).first()[0] >= CHANGED * n * DEGREE
-    path = scratch(spark, "index")
+    path = f"{steps.path}/index"
     files = blocks.join(around, "block").select("block", "vectors", "names", "around").mapInArrow(block_files(path), "block long")
-    written(files, "files")
+    steps.write(files)
     return Index(nodes, n, dims, path)
 
 
@@ -450,13 +448,14 @@ def nearest_neighbours(rows: DataFrame, k: int, is_query, key: str = "vec_id", v
     Fewer rows than k give all of them; a table without usable rows gives an empty result. is_query: a Column over key.
     """
     spark = rows.sparkSession
-    vectors, dims = usable(rows, key, vector)
+    steps = Steps(spark, "neighbours")
+    vectors, dims = usable(rows, key, vector, steps)
     result = f"query_id long, rank int, `{key}` long, score double"
     if not dims:
         return spark.createDataFrame([], result)
     nodes = vectors.groupBy("vec").agg(F.min("key").alias("node"))
-    index = build(nodes, dims)
-    own = written(vectors.join(index.nodes.select("ord", "vec"), "vec").select("key", "ord", "vec"), "own")
+    index = build(nodes, dims, steps)
+    own = steps.write(vectors.join(index.nodes.select("ord", "vec"), "vec").select("key", "ord", "vec"))
     queries = own.where(is_query(F.col("key"))).select(F.col("key").alias("query_id"), "ord", "vec")
     found = search(index, queries, k, beam)
     copies = own.select("ord", "key", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
@@ -464,4 +463,4 @@ def nearest_neighbours(rows: DataFrame, k: int, is_query, key: str = "vec_id", v
     copies = first(first(copies, "ord", "salt").drop("at"), "ord").select("ord", "key")
     each = found.join(copies, "ord").where("key != query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")
+    return steps.result(ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score"), "nearest")

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm.common import scratch, text_or_empty
+from parcela.llm.common import text_or_empty
+from parcela.sources.shared import scratch
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcela.llm.common import range_part, scratch, sized_parts, text_or_empty
+from parcela.llm.common import range_part, sized_parts, text_or_empty
+from parcela.sources.shared import scratch
 
 MAGIC = b"PLN1"
 BLOCK_IDS = 1 << 16
