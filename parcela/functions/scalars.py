@@ -36,7 +36,7 @@ def time_to_ole(time: Column) -> Column:
 def uuid_text(raw: Column) -> Column:
     """16 bytes in storage order as lower-case text with hyphens."""
     digits = F.lower(F.hex(raw))
-    return F.concat_ws("-", *[F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.when(raw.isNotNull(), F.concat_ws("-", *[F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
 
 
 def uuid_bytes(text: Column) -> Column:
@@ -68,6 +68,43 @@ def xml_geometry_type(xml: Column) -> Column:
     return F.when(found != "", found)
 
 
+SPARK_TYPES = {"int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "oid": "bigint"}
+
+
+def typed(text: Column, kind: str) -> Column:
+    """parse_value() over a column: NULL in any case is null, and a text that doesn't fit the kind is an error."""
+    if kind in SPARK_TYPES:
+        form = r"[+]?[0-9]+" if kind == "oid" else r"[+-]?[0-9]+" if kind.startswith("int") else r"(?i)[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)"
+        value = F.when(text.rlike(f"^(?:{form})$"), text.try_cast(SPARK_TYPES[kind]))
+    elif kind in ("datetime", "date", "time"):
+        part = lambda pattern, n: F.coalesce(F.regexp_extract(text, pattern, n).try_cast("int"), F.lit(0))
+        day, clock = r"^(\d+)-(\d+)-(\d+)", r"[ T](\d+):(\d+):(\d+)"
+        micros = F.rpad(F.substring(F.regexp_extract(text, r"[ T]\d+:\d+:\d+\.(\d+)", 1), 1, 6), 6, "0").try_cast("int")
+        whole = F.make_timestamp_ntz(*[part(day, n) for n in (1, 2, 3)], *[part(clock, n) for n in (1, 2)], part(clock, 3).cast("decimal(8,6)"))
+        value = F.when(text.rlike(day), F.timestamp_micros(F.unix_micros(whole.cast("timestamp")) + micros).cast("timestamp_ntz"))
+    elif kind == "uuid":
+        value = uuid_text(uuid_bytes(text))
+    else:
+        value = text
+    null = text.isNull() | (F.lower(text) == "null")
+    return F.when(~null, F.coalesce(value, F.raise_error(F.concat(F.lit(f"not a value of kind {kind}: "), text)).cast(SPARK_TYPES.get(kind, "timestamp_ntz" if kind in ("datetime", "date", "time") else "string"))))
+
+
+def shown_column(value: Column, kind: str) -> Column:
+    """A value as the command line shows it."""
+    if kind in ("binary", "raster"):
+        text = F.concat(F.lit("<binary "), F.length(value).cast("string"), F.lit(" bytes>"))
+    elif kind in ("datetime", "date", "time"):
+        text = iso_text(value)
+    elif kind in ("float32", "float64"):
+        from parcela.functions.geometry import number_text
+
+        text = number_text(value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit("<null>"))
+
+
 # Plain Python forms, for values that come one at a time (the command line, tests).
 
 

@@ -371,6 +371,26 @@ def uuid_roundtrip(spark, sf_dir):
     return rows_of(spark, sf_dir, "customer").select("c_custkey", text.alias("uuid"), (scalars.uuid_bytes(F.concat(F.lit("{"), F.upper(text), F.lit("}"))) == raw).alias("same"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 30000 AS SMALLINT) END AS small, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) END AS number,
+    CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2024-02-01 00:00:00' + to_days(CAST(c_custkey % 20 AS INTEGER)) + to_hours(CAST(c_custkey % 24 AS INTEGER)) END AS at FROM customer""")
+def typed_values(spark, sf_dir):
+    """Texts as values of a field's kind."""
+    rows, key = rows_of(spark, sf_dir, "customer"), F.col("c_custkey")
+    null = lambda n, text: F.when(key % n == 0, F.lit("NuLL")).otherwise(text)
+    day, hour = F.lpad((key % 20 + 1).cast("string"), 2, "0"), F.lpad((key % 24).cast("string"), 2, "0")
+    times = F.concat(F.lit("2024-02-"), day, F.when(key % 2 == 0, F.lit("T")).otherwise(F.lit(" ")), hour, F.lit(":00:00"))
+    return rows.select("c_custkey", scalars.typed(null(7, (key % 30000).cast("string")), "int16").alias("small"), scalars.typed(null(5, F.col("c_acctbal").cast("string")), "float64").alias("number"), scalars.typed(null(3, times), "datetime").alias("at"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '<null>' ELSE CAST(user_id AS VARCHAR) END AS number, strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END AS at,
+    '<binary ' || strlen(event_type) || ' bytes>' AS raw, CAST(event_id AS VARCHAR) || CASE WHEN event_id % 2 = 1 THEN '.5' ELSE '' END AS half FROM events""")
+def shown_values(spark, sf_dir):
+    """Values as the command line shows them."""
+    rows, key = rows_of(spark, sf_dir, "events"), F.col("event_id")
+    shown = {"number": (F.when(key % 4 != 0, F.col("user_id")), "int64"), "at": (F.col("ts"), "datetime"), "raw": (F.col("event_type").cast("binary"), "binary"), "half": (key + (key % 2) / 2, "float64")}
+    return rows.select("event_id", *[scalars.shown_column(c, kind).alias(name) for name, (c, kind) in shown.items()])
+
+
 @query("SELECT * FROM (VALUES ('Cities_Tbl', 'Table', NULL, NULL), ('Capitals', 'FeatureClass', 'POINT', NULL), ('Admin', 'FeatureDataset', NULL, NULL), ('Regions', 'FeatureClass', 'POLYGON', 'Admin')) AS t(name, item_type, geometry_type, parent_dataset)")
 def catalog_list(spark, sf_dir):
     """The catalog of the sample geodatabase, read back from its files."""

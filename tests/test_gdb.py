@@ -171,3 +171,16 @@ def test_xml_helpers(spark):
     text = "<DEFeatureClassInfo><GeometryType>esriGeometryPoint</GeometryType><WKT>GEOGCS[\"x\"]</WKT></DEFeatureClassInfo>"
     row = spark.createDataFrame([(text,)], "x string").select(scalars.is_dataset_xml(F.col("x")), scalars.xml_wkt(F.col("x")), scalars.xml_geometry_type(F.col("x"))).first()
     assert list(row) == [True, 'GEOGCS["x"]', "esriGeometryPoint"]
+
+
+def test_typed_columns(spark):
+    from pyspark.sql import functions as F
+
+    def typed(text, kind):
+        return spark.createDataFrame([(text,)], "x string").select(scalars.typed(F.col("x"), kind)).first()[0]
+
+    for text, kind in (("+5", "int16"), ("-7", "int64"), ("1e3", "float64"), ("nULL", "int32"), ("x", "string"), ("2024-05-06T07:08:09.1234569", "datetime"), ("2024-05-06", "date"), ("{" + UUID.upper() + "}", "uuid"), ("12", "oid")):
+        assert typed(text, kind) == scalars.parse_value(text, kind), (text, kind)
+    for text, kind in (("70000", "int16"), ("1_0", "int32"), ("x", "float64"), ("12", "uuid"), ("2024", "date"), ("-1", "oid")):
+        with pytest.raises(Exception, match="not a value"):
+            typed(text, kind)
