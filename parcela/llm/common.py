@@ -34,6 +34,10 @@ class Steps:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, n: int) -> None:
+        """Deletes the n-th table, which nothing reads any more."""
+        drop_path(self.spark, f"{self.path}/{n}")
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the result, and deletes the steps."""
         out = written(df, name)

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcela.llm.common import drop_path, list_array, scratch, sized_parts, text_or_empty, written
+from parcela.llm.common import Steps, list_array, sized_parts, text_or_empty
 
-KMER, MINIMA, SKETCHES = 5, 2, 32
+KMER, MINIMA, SKETCHES = 5, 2, 48
 SIMILARITY = 0.8
 PART_BYTES = 1_500_000
 #: Bits of the filter of k-mers to leave out, as a power of two.
@@ -136,12 +136,10 @@ def sketches(hashes: np.ndarray, counts: np.ndarray, n_sketches: int = SKETCHES,
     own = mers ^ mixed(of.astype(np.uint64) + np.uint64(1))
     order = np.argsort(own, kind="stable")
     again = np.append(False, own[order][1:] == own[order][:-1])
-    labelled = mers
+    occurrence = np.zeros(len(order), np.uint64)
     if again.any():
-        run = np.arange(len(order)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-        occurrence = np.empty(len(order), np.uint64)
-        occurrence[order] = run
-        labelled = mixed(mers + occurrence * np.uint64(BASE))
+        occurrence[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    labelled = mixed(mers + occurrence * np.uint64(BASE))
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def smallest(values: np.ndarray) -> np.ndarray:
@@ -306,28 +304,21 @@ def condensed(links: DataFrame) -> DataFrame:
     return each.select("node", F.col("low").alias("hub")).union(hubs)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, steps: Steps) -> DataFrame:
     """node and label of every node of links(node, hub): the smallest node of its connected component.
 
     Every round takes the smallest label among a node and its neighbours, then that label's own label, so the rounds
     needed grow with the logarithm of a component's width. Each round is a written table.
     """
-    spark = links.sparkSession
     both = links.select("node", F.col("hub").alias("other")).union(links.select(F.col("hub"), F.col("node")))
-    labels, paths = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels"), []
+    labels = steps.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "theirs").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label"))
-        path = scratch(spark, "labels")
-        new.write.parquet(path)
-        paths.append(path)
-        new = spark.read.schema(new.schema).parquet(path)
+        new = steps.write(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
         labels = new.select("node", "label")
         if new.where("was != label").limit(1).count() == 0:
-            for old in paths[:-1]:
-                drop_path(spark, old)
             return labels
 
 
@@ -338,33 +329,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     exact copies only. Rows without a key have the class of their text's other rows, or a null class if no row of the
     class has a key. Repeated rows each keep their row; an empty table gives an empty result.
     """
-    rows = written(sketched(docs, key, text, n_sketches), "sketched")
+    steps = Steps(docs.sparkSession, "near")
+    every = steps.write(sketched(docs, key, text, n_sketches))
+    rows = steps.write(every.select("key", "node"))
     keys = rows.groupBy("node").agg(F.min("key").alias("key"))
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    nodes = steps.write(every.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")))
+    steps.drop(1)
+    at = steps.n
     links, tested, texts, without = None, None, None, None
     while True:
         each = F.transform(F.sequence(F.lit(0), F.lit(n_sketches - 1)), lambda s: F.struct(s.alias("s"), *[F.get("sketches", s * MINIMA + k).alias(f"m{k}") for k in range(MINIMA)]))
         mers = [f"m{k}" for k in range(MINIMA)]
         members = nodes.where(F.size("sketches") > 0).select("node", "n", F.explode(each).alias("e")).select("node", "n", "e.*")
         members = members.select("node", "n", *mers, F.xxhash64("s", *mers).alias("bucket"))
-        hubs = written(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("count")).where("count > 1").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
-        members = written(members.join(hubs, "bucket").where("node != hub").drop("bucket"), "members")
+        crowded = steps.write(members.groupBy("bucket").count().where("count > 1").select("bucket"))
+        members = steps.write(members.join(crowded, "bucket"))
+        steps.drop(at)
+        hubs = steps.write(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+        members = steps.write(members.join(hubs, "bucket").where("node != hub").drop("bucket"))
         if texts is None:
             wanted = members.select("node").union(members.select("hub")).distinct().join(keys, "node")
-            texts = written(word_rows(docs, written(wanted, "wanted"), key, text), "words")
+            texts = steps.write(word_rows(docs, steps.write(wanted), key, text))
         near = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
         pairs = members.where(near).select("node", "hub").distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["node", "hub"], "left_anti"), "pairs")
-        found = written(aligned(pairs, texts, least), "found")
+        pairs = steps.write(pairs if tested is None else pairs.join(tested, ["node", "hub"], "left_anti"))
+        found = steps.write(aligned(pairs, texts, least))
         more = found.limit(1).count() > 0
         links, tested, first = (found, pairs, True) if links is None else (links.union(found), tested.union(pairs), False)
         unlike = members.join(links, ["node", "hub"], "left_anti")
         if not (more or first) or unlike.limit(1).count() == 0:
             break
         without = filter_of(unlike.select(F.explode(F.array(*mers)).alias("mer")).distinct(), without)
-        nodes = written(sketched_again(texts.join(unlike.select("node").distinct(), "node", "left_semi"), n_sketches, without), "nodes")
-    labels = components(written(condensed(links), "links"))
+        nodes = steps.write(sketched_again(texts.join(unlike.select("node").distinct(), "node", "left_semi"), n_sketches, without))
+        at = steps.n
+    labels = components(steps.write(condensed(links)), steps)
     named = labels.join(keys, "node").groupBy("label").agg(F.min("key").alias("class_id"))
-    linked = written(labels.join(named, "label").select("node", "class_id"), "linked")
-    classes = written(keys.join(linked, "node", "left").select("node", F.coalesce("class_id", "key").alias("class_id")), "classes")
-    return rows.select("key", "node").join(classes, "node").select("key", "class_id")
+    linked = steps.write(labels.join(named, "label").select("node", "class_id"))
+    classes = steps.write(keys.join(linked, "node", "left").select("node", F.coalesce("class_id", "key").alias("class_id")))
+    return steps.result(rows.select("key", "node").join(classes, "node").select("key", "class_id"), "classes")
