@@ -29,7 +29,7 @@ from parcela.functions.where import FilterError
 
 EPS = 1e-9
 #: More edges than this are not unrolled: the generated code would grow too large to be compiled.
-UNROLLED_EDGES = 16
+UNROLLED_EDGES = 8
 ENVELOPE_INTERSECTS, INTERSECTS, CONTAINS, WITHIN = "ENVELOPE_INTERSECTS", "INTERSECTS", "CONTAINS", "WITHIN"
 RELATIONS = (ENVELOPE_INTERSECTS, INTERSECTS, CONTAINS, WITHIN)
 Edge = tuple[Point, Point]
@@ -282,7 +282,8 @@ def point_column(relation: str, query: Geometry, p) -> Column:
         if query.kind == POLYGON:
             return constant_polygon(query.parts, p)
         return any_column([constant_on_line(part, p) if query.kind == POLYLINE else same_point_column(part[0], p) for part in query.parts if part])
-    touching = [constant_on_line(part, p) for part in query.parts if part]
+    closed = query.kind == POLYGON  # whose edges count as inside anyway; a ring of one point has none
+    touching = [constant_on_line(part, p) for part in query.parts if part and not (closed and len(part) > 1)]
     return any_column([*touching, *([constant_polygon(query.parts, p)] if query.kind == POLYGON else [])])
 
 
