@@ -10,6 +10,10 @@ fills buckets too; the k-mers of sketches that brought a node together with an u
 next round, in which such nodes are sketched and compared anew, as long as the last round found links. These k-mers are
 held in a filter of a fixed number of bits; a bit that two k-mers share leaves out both, in all texts alike.
 
+Buckets of any round whose nodes are then in several classes are settled: of all their pairs across classes, those are
+aligned that share one of their rarest words, which pairs that are alike must (a text of n words needs n * SIMILARITY of
+them in the other, so one at least among any n - n * SIMILARITY + 1). No pair of nodes that share a bucket is left out.
+
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
 distance allowed, in bit vectors.
@@ -24,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcela.llm.common import Steps, list_array, sized_parts, text_or_empty
@@ -34,6 +38,8 @@ SIMILARITY = 0.8
 PART_BYTES = 1_500_000
 #: Bits of the filter of k-mers to leave out, as a power of two.
 FILTER_BITS = 24
+#: Bins in which words are counted to tell the rare ones, as a power of two.
+COUNT_BITS = 18
 #: Ids that are broadcast to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
@@ -322,6 +328,86 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
             return labels
 
 
+def word_tokens(row: np.ndarray) -> np.ndarray:
+    """The words of a text, as 64-bit hashes; a word that comes again counts as another one."""
+    order = np.sort(row)
+    again = np.append(False, order[1:] == order[:-1])[: len(order)]
+    place = np.arange(len(order))
+    return mixed(order.astype(np.uint64) << np.uint64(32) | (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64))
+
+
+def token_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts(node, words) have tokens of each bin; at most 2 ** COUNT_BITS rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                held += np.bincount((word_tokens(np.frombuffer(x.as_buffer(), np.uint32)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["bin", "held"])
+
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    for r in texts.select("words").mapInArrow(run, "bin long, held long").groupBy("bin").agg(F.sum("held").alias("held")).collect():
+        out[r["bin"]] = r["held"]
+    return out
+
+
+def rarest_tokens(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """node and token of the rarest words of texts(node, words), as many as texts that are alike can't all differ in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                tokens = word_tokens(np.frombuffer(x.as_buffer(), np.uint32))
+                rare = np.lexsort((tokens, counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                rows.append(tokens[rare[: int(len(tokens) * (1 - least) + 1e-9) + 1]].view(np.int64))
+            sizes = np.array([len(r) for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), sizes))), pa.array(np.concatenate(rows))], ["node", "token"])
+
+    return texts.select("node", "words").mapInArrow(run, "node binary, token long")
+
+
+def alike_lengths(least: float) -> Column:
+    return F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
+
+
+def settled(rounds: list[DataFrame], labels: DataFrame, tested: DataFrame, texts: DataFrame, least: float, steps: Steps) -> DataFrame:
+    """Further links(node, hub) among nodes that share a bucket of a round and are in different classes so far.
+
+    Buckets with the same nodes are one. Tokens that a single class has are dropped before they meet the buckets, and
+    classes are paired before their nodes are, so the copies of one class never meet each other.
+    """
+    each = None
+    for k, members in enumerate(rounds):
+        bucket = F.xxhash64(F.lit(k), "bucket").alias("bucket")
+        here = members.select(bucket, "node", "n").union(members.select(bucket, F.col("hub"), F.col("hub_n")).distinct())
+        each = here if each is None else each.union(here)
+    each = steps.write(each.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
+    at = steps.n
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    open_ = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("nodes"), *marks).where("low != high")
+    groups = open_.groupBy("x0", "x1", "nodes").agg(F.min("bucket").alias("bucket")).select("bucket")
+    each = steps.write(each.join(groups, "bucket"))
+    steps.drop(at)
+    named = each.select("node", "label").distinct()
+    held = texts.join(named, "node", "left_semi")
+    tokens = rarest_tokens(held, token_counts(held), least).join(named, "node")
+    shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
+    tokens = steps.write(tokens.join(shared, "token").select("node", "token"))
+    by = ["bucket", "token"]
+    rows = each.join(tokens, "node")
+    crowded = rows.groupBy(*by).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*by)
+    rows = steps.write(rows.join(crowded, by))
+    kinds = rows.select(*by, "label").distinct()
+    crossed = kinds.join(kinds.withColumnRenamed("label", "other"), by).where("label < other")
+    ones = crossed.join(rows, [*by, "label"])
+    others = rows.select(*by, F.col("label").alias("other"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = ones.join(others, [*by, "other"]).where(alike_lengths(least)).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+    return steps.write(aligned(steps.write(pairs.join(tested, ["node", "hub"], "left_anti")), texts, least))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, n_sketches: int = SKETCHES) -> DataFrame:
     """key and class_id of every row: the smallest key among all rows whose texts belong together.
 
@@ -336,7 +422,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     nodes = steps.write(every.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")))
     steps.drop(1)
     at = steps.n
-    links, tested, texts, without = None, None, None, None
+    links, tested, texts, without, rounds = None, None, None, None, []
     while True:
         each = F.transform(F.sequence(F.lit(0), F.lit(n_sketches - 1)), lambda s: F.struct(s.alias("s"), *[F.get("sketches", s * MINIMA + k).alias(f"m{k}") for k in range(MINIMA)]))
         mers = [f"m{k}" for k in range(MINIMA)]
@@ -346,12 +432,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         members = steps.write(members.join(crowded, "bucket"))
         steps.drop(at)
         hubs = steps.write(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-        members = steps.write(members.join(hubs, "bucket").where("node != hub").drop("bucket"))
+        members = steps.write(members.join(hubs, "bucket").where("node != hub"))
         if texts is None:
             wanted = members.select("node").union(members.select("hub")).distinct().join(keys, "node")
             texts = steps.write(word_rows(docs, steps.write(wanted), key, text))
-        near = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
-        pairs = members.where(near).select("node", "hub").distinct()
+        rounds.append(members)
+        pairs = members.where(alike_lengths(least)).select("node", "hub").distinct()
         pairs = steps.write(pairs if tested is None else pairs.join(tested, ["node", "hub"], "left_anti"))
         found = steps.write(aligned(pairs, texts, least))
         more = found.limit(1).count() > 0
@@ -362,7 +448,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         without = filter_of(unlike.select(F.explode(F.array(*mers)).alias("mer")).distinct(), without)
         nodes = steps.write(sketched_again(texts.join(unlike.select("node").distinct(), "node", "left_semi"), n_sketches, without))
         at = steps.n
-    labels = components(steps.write(condensed(links)), steps)
+    links = steps.write(condensed(links))
+    labels = components(links, steps)
+    further = settled(rounds, labels, tested, texts, least, steps)
+    if further.limit(1).count() > 0:
+        labels = components(steps.write(links.union(further)), steps)
     named = labels.join(keys, "node").groupBy("label").agg(F.min("key").alias("class_id"))
     linked = steps.write(labels.join(named, "label").select("node", "class_id"))
     classes = steps.write(keys.join(linked, "node", "left").select("node", F.coalesce("class_id", "key").alias("class_id")))

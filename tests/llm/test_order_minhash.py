@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parcela.llm import order_minhash as o
+from tests_llm_helpers import all_pairs_classes
 
 
 def levenshtein(a, b):
@@ -92,6 +94,22 @@ def test_planted_copies(documents):
     assert got == want
 
 
+def test_copies_that_share_only_a_passage_of_unlike_texts(documents):
+    """The copies have the largest digests, so they are never hubs of the buckets of the passage."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(90)]
+    own = lambda n: [f"o{rng.getrandbits(40)}" for _ in range(n)]
+    digest = lambda t: hashlib.blake2b(t.encode(), digest_size=16).digest()
+    rows = [(i, " ".join(own(12) + passage + own(12))) for i in range(80)]
+    last = max(digest(t) for _, t in rows)
+    while len(rows) < 84:
+        text = " ".join(own(5) + passage + own(5))
+        if digest(text) > last:
+            rows.append((len(rows), text))
+    got = {r.key: r.class_id for r in o.near_duplicates(documents([(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == all_pairs_classes(dict(rows)) == {i: min(i, 80) for i, _ in rows}
+
+
 def test_matches_all_pairs(documents):
     rng = random.Random(8)
     rows = [(i, " ".join(edited(rng, prose(random.Random(i % 40), 80), rng.randint(0, 5)))) for i in range(160)]
