@@ -26,17 +26,24 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near duplicates the document with the smallest doc_id, once."""
+    """Keeps one row of each class of near duplicates: that with the smallest doc_id (null ids last), then text digest.
+
+    Ids that a single row has tell their row; rows that share an id, or have none, are told apart by their texts' digests.
+    """
     small_batches(spark)
-    classes = order_minhash.near_duplicates(docs)
-    kept = classes.where(F.col("key").eqNullSafe(F.col("class_id"))).select("key").distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi").select(*COLUMNS)
-    again = written(stay.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    classes = order_minhash.near_duplicates(docs, keep=("key", "node", "label"))
+    first = F.min(F.struct(F.col("key").isNull(), "key", "node")).alias("first")
+    kept = written(classes.groupBy("label").agg(first).select(F.col("first.key").alias("key"), F.col("first.node").alias("kept_node")), "kept")
+    docs = docs.select(*COLUMNS)
+    again = written(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again")), "repeated")
+    same, repeated = F.col("doc_id").eqNullSafe(F.col("key")), F.col("doc_id").eqNullSafe(F.col("again"))
     if again.limit(1).count() == 0:
-        return stay
-    repeated = F.col("doc_id").eqNullSafe(F.col("again"))  # rows that share an id: one of them stays
-    again = again.withColumnRenamed("doc_id", "again")
-    return stay.join(again, repeated, "left_anti").union(stay.join(again, repeated, "left_semi").groupBy("doc_id").agg(*[F.min_by(c, F.struct(F.coalesce("text", F.lit("")), "lang", "source", "n_chars")).alias(c) for c in COLUMNS[1:]]))
+        return docs.join(kept, same, "left_semi")
+    many = order_minhash.with_nodes(docs.join(again, repeated, "left_semi"), node="node")
+    many = many.join(kept, same & (F.col("node") == F.col("kept_node")), "left_semi")
+    whole = F.min(F.struct(*COLUMNS[1:])).alias("row")  # rows of one id and text: one of them stays
+    many = many.groupBy("doc_id", "node").agg(whole).select("doc_id", "row.*")
+    return docs.join(again, repeated, "left_anti").join(kept, same, "left_semi").union(many)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -408,9 +408,25 @@ def settled(rounds: list[DataFrame], labels: DataFrame, tested: DataFrame, texts
     return steps.write(aligned(steps.write(pairs.join(tested, ["node", "hub"], "left_anti")), texts, least))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, n_sketches: int = SKETCHES) -> DataFrame:
+def with_nodes(docs: DataFrame, text: str = "text", node: str = "node") -> DataFrame:
+    """docs with the digest of each row's text, as near_duplicates() has it. A null text counts as empty."""
+    names = [*docs.columns, node]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{kinds}, `{node}` binary")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, n_sketches: int = SKETCHES, keep: tuple[str, ...] = ("key", "class_id")) -> DataFrame:
     """key and class_id of every row: the smallest key among all rows whose texts belong together.
 
+    keep: columns of the result, also node (the text's digest) and label (a node that names the class; unlike class_id it
+    tells classes apart that share a key or have none).
+
     Rows with equal texts always belong together; a null text counts as empty. Texts without any word are like their
     exact copies only. Rows without a key have the class of their text's other rows, or a null class if no row of the
     class has a key. Repeated rows each keep their row; an empty table gives an empty result.
@@ -454,6 +470,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if further.limit(1).count() > 0:
         labels = components(steps.write(links.union(further)), steps)
     named = labels.join(keys, "node").groupBy("label").agg(F.min("key").alias("class_id"))
-    linked = steps.write(labels.join(named, "label").select("node", "class_id"))
-    classes = steps.write(keys.join(linked, "node", "left").select("node", F.coalesce("class_id", "key").alias("class_id")))
-    return steps.result(rows.select("key", "node").join(classes, "node").select("key", "class_id"), "classes")
+    linked = steps.write(labels.join(named, "label").select("node", "label", "class_id"))
+    own = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id")
+    classes = steps.write(keys.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"), own))
+    return steps.result(rows.select("key", "node").join(classes, "node").select(*keep), "classes")

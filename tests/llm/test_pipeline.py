@@ -62,6 +62,18 @@ def test_stages_match_brute_force(spark, documents):
     assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 2 and all(n <= 2 * sizes[k] for k, n in taken.items())
 
 
+def test_rows_without_ids_and_with_shared_ids(spark, documents):
+    """Every class keeps one row, whatever ids its rows have."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(7)]
+    near = texts[0].replace("t0w7", "other")
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4])]
+    rows += [(5, texts[5]), (3, texts[6]), (5, texts[6]), (None, texts[6])]
+    docs = documents([(i, t, "en", "a") for i, t in rows], extra=False)
+    got = sorted(((r.doc_id, r.text) for r in c.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    one = next(t for i, t in got if t in (texts[0], near))
+    assert got == sorted([(None, one), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (5, texts[5]), (3, texts[6])], key=repr)
+
+
 def test_run_is_registered(spark):
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is c.run
     out = c.run(spark, "/root/testdata/sf0.001")
