@@ -2,7 +2,8 @@
 
 The outermost operation remembers every registered table; aborting restores what the last outermost operation remembered.
 Nested operations are not savepoints. Aborting without any operation keeps the edits in memory and writes nothing. A
-commit needs a started session whose operations have all stopped, and writes all tables at once.
+commit needs a started session whose operations have all stopped, writes all tables that were changed at once, and lets go of
+the working versions, so that later edits begin with the tables as written.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ class EditSession:
         self.workspace, self.started, self.depth = workspace, False, 0
         self.working: dict[str, FeatureTable] = {}
         self.remembered: dict[str, FeatureTable] = {}
+        self.opened: dict[str, FeatureTable] = {}
 
     def start(self) -> None:
         self.started = True
@@ -55,7 +57,9 @@ class EditSession:
         return table
 
     def open(self, name: str) -> FeatureTable:
-        return self.working.get(name) or self.register(self.workspace.open(name))
+        if name not in self.working:
+            self.opened[name] = self.register(self.workspace.open(name))
+        return self.working[name]
 
     def edit(self, name: str, change: Callable[[FeatureTable], FeatureTable]) -> FeatureTable:
         """Puts what the change makes of a table in its place."""
@@ -67,7 +71,10 @@ class EditSession:
             raise EditError("the session has not started")
         if self.depth:
             raise EditError(f"{self.depth} operations have not stopped")
-        self.workspace.commit(self.working)
+        changed = {name: table for name, table in self.working.items() if table is not self.opened.get(name)}
+        if changed:
+            self.workspace.commit(changed)
+        self.working, self.opened = {}, {}
         self.ended()
 
     def abort(self) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from parcela.functions.geometry import BOUNDS, Geometry, literal, with_bounds
 from parcela.operators.filters import OID, QueryFilter
+from parcela.sources.shared import scratch
 
 ALL = QueryFilter.all()
 
@@ -36,15 +37,17 @@ class FeatureTable:
     next_oid: int
     shape: str | None = None
     how: Mapping = field(default_factory=dict)
+    version: str | None = None  # that of the workspace's table which this one was made from
 
     @classmethod
     def of(cls, name: str, rows: DataFrame, shape: str | None = None, **how) -> FeatureTable:
         """A table of these rows; without OBJECTID they are numbered from 1."""
+        n = None
         if OID not in rows.columns:
-            rows = numbered(rows, 1)
+            rows, n = numbered(rows, 1)
         if shape and not has_bounds(rows, shape):
             rows = with_bounds(rows, shape)
-        return cls(name, rows, (rows.agg(F.max(OID)).first()[0] or 0) + 1, shape, how)
+        return cls(name, rows, ((rows.agg(F.max(OID)).first()[0] or 0) if n is None else n) + 1, shape, how)
 
     @property
     def fields(self) -> list[T.StructField]:
@@ -121,6 +124,24 @@ class FeatureTable:
         """The table without the rows that the filter holds for; other rows keep their object ids."""
         return replace(self, rows=where.apply(self.rows, negated=True, **self.filtering()))
 
+    def deleted_with_count(self, where: QueryFilter) -> tuple[FeatureTable, int]:
+        """deleted(), and how many rows that takes away; ids that no row has, or that are named twice, don't count."""
+        return self.deleted(where), self.count(where)
+
+    def deleted_positions(self, positions: Iterable[int]) -> FeatureTable:
+        """The table without the rows at these positions (from 0) in the order of object ids; others are an error."""
+        wanted = set(positions)
+        placed = self.rows.select(OID).repartitionByRange(OID).sortWithinPartitions(OID)
+        placed = numbered(placed.select(F.col(OID).alias("#oid")), 0)[0].where(F.col(OID).isin(sorted(wanted)))
+        oids = [r["#oid"] for r in placed.collect()]  # one for each position asked for
+        if len(oids) < len(wanted):
+            raise EditError(f"{self.name} has no row at some of these positions")
+        return self.deleted(QueryFilter.by_oids(oids))
+
+    def deleted_row(self, row: Row | Mapping[str, object]) -> FeatureTable:
+        """The table without this row, as a search gave it."""
+        return self.deleted(QueryFilter.by_oid(row[OID]))
+
     def inserted(self, rows: DataFrame | Iterable[Mapping[str, object]]) -> FeatureTable:
         """The table with these rows added, under the next object ids. Fields that a mapping lacks get their default."""
         if not isinstance(rows, DataFrame):
@@ -128,14 +149,14 @@ class FeatureTable:
             for r in rows:
                 if unknown := r.keys() - {f.name for f in self.fields}:
                     raise EditError(f"{self.name} has no field {', '.join(sorted(unknown))}")
-            plain = [self.completed(r) for r in rows]
-            schema = T.StructType([T.StructField(f.name, f.dataType, f.nullable) for f in self.fields if f.name != OID])
-            rows = self.rows.sparkSession.createDataFrame([[p[f.name] for f in schema] for p in plain], schema)
-        rows = rows.drop(OID)
-        if self.shape and not has_bounds(rows, self.shape):
-            rows = with_bounds(rows, self.shape)
-        n = rows.count()
-        return replace(self, rows=self.rows.unionByName(numbered(rows, self.next_oid)), next_oid=self.next_oid + n)
+            plain = [self.completed(r) | {OID: oid} for oid, r in enumerate(rows, self.next_oid)]
+            schema = T.StructType(list(self.fields))
+            new, n = self.rows.sparkSession.createDataFrame([[p[f.name] for f in schema] for p in plain], schema), len(plain)
+        else:
+            new, n = numbered(rows.drop(OID), self.next_oid)
+        if self.shape and not has_bounds(new, self.shape):
+            new = with_bounds(new, self.shape)
+        return replace(self, rows=self.rows.unionByName(new), next_oid=self.next_oid + n)
 
     def completed(self, given: Mapping[str, object]) -> dict:
         """A row's values: as given, else the field's default, else null if it may be, else zero or empty."""
@@ -155,16 +176,25 @@ def empty(f: T.StructField):
     return "" if isinstance(f.dataType, T.StringType) else b"" if isinstance(f.dataType, T.BinaryType) else 0.0 if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else 0 if isinstance(f.dataType, T.IntegralType) else None
 
 
-def numbered(rows: DataFrame, first: int) -> DataFrame:
-    """The rows with dense object ids from that one on, in their order.
+def numbered(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
+    """The rows with dense object ids from that one on, in their order, and their number.
 
-    A task numbers the rows of its partition; what the partitions before hold is summed over one row for each of them.
+    A task numbers the rows of its partition, and the rows are written with these numbers before anything is counted:
+    a plan that runs twice may deal its rows to other partitions the second time. What the partitions before hold is
+    summed over one row for each of them.
     """
-    kept = {f.name: f.metadata for f in rows.schema.fields}
-    placed = rows.withColumn("#part", F.spark_partition_id()).withColumn("#at", F.monotonically_increasing_id())
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "numbered")
+    rows.withColumn("#part", F.spark_partition_id()).withColumn("#at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("#part", T.IntegerType()), T.StructField("#at", T.LongType())])).parquet(path)
     counts = placed.groupBy("#part").agg(F.count(F.lit(1)).alias("#n"), F.min("#at").alias("#begin"))
     before = F.coalesce(F.sum("#n").over(Window.partitionBy(F.lit(0)).orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("#part", "#begin", before.alias("#before"))
     out = placed.join(F.broadcast(starts), "#part")  # a row for each partition
     oid = (F.col("#at") - F.col("#begin") + F.col("#before") + F.lit(first)).cast("long")
-    return out.select(oid.alias(OID), *[F.col(f"`{c}`").alias(c, metadata=kept[c]) for c in rows.columns])
+    return out.select(F.coalesce(oid, F.lit(0).cast("long")).alias(OID), *[as_before(f) for f in rows.schema.fields]), counts.agg(F.sum("#n")).first()[0] or 0
+
+
+def as_before(f: T.StructField) -> Column:
+    """A column that was written and read again, with its metadata, and not nullable if it wasn't (files forget that)."""
+    column, zero = F.col(f"`{f.name}`"), empty(f)
+    return (column if f.nullable or zero is None else F.coalesce(column, F.lit(zero).cast(f.dataType))).alias(f.name, metadata=f.metadata)

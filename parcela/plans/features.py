@@ -15,9 +15,9 @@ from parcela.functions import geometry as g
 from parcela.functions import scalars
 from parcela.functions.spatial import CONTAINS, ENVELOPE_INTERSECTS, INTERSECTS, WITHIN
 from parcela.operators.filters import OID, QueryFilter
-from parcela.operators.session import EditSession
 from parcela.operators.table import FeatureTable
 from parcela.sources.shared import scratch
+from parcela.sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -288,22 +288,34 @@ def insert_copies(spark, sf_dir):
     return table.copied(QueryFilter.where("n_regionkey = 1")).search(fields=[OID, "n_name"])
 
 
-class InMemory:
-    """A workspace of tables in memory, for sessions over tables that have no files."""
+@query("SELECT count(*) AS rows, count(*) AS ids, CAST(1 AS BIGINT) AS first, 2 * count(*) AS last, 2 * count(*) AS next_oid, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+def insert_shuffled(spark, sf_dir):
+    """Rows that come out of a skewed shuffle, made a table and inserted into it again."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("by")).repartition("by")
+    table = FeatureTable.of("orders", rows)
+    n = table.next_oid - 1
+    table = table.inserted(rows)
+    first = F.col(OID) <= n
+    facts = [F.count_if(first).alias("rows"), (F.count_distinct(OID) - n).alias("ids"), F.min(OID).alias("first"), F.max(OID).alias("last"), F.lit(table.next_oid - 1).cast("long").alias("next_oid"), F.sum(F.when(first, F.col("o_orderkey"))).alias("keys")]
+    return table.rows.agg(*facts)
 
-    def __init__(self, *tables: FeatureTable) -> None:
-        self.tables = {t.name: t for t in tables}
 
-    def open(self, name: str) -> FeatureTable:
-        return self.tables[name]
+@query("SELECT count(*) FILTER (WHERE o_totalprice <= 300000) AS kept, count(*) FILTER (WHERE o_totalprice > 300000) AS deleted FROM orders")
+def delete_count(spark, sf_dir):
+    left, n = table_of(spark, sf_dir, "orders").deleted_with_count(QueryFilter.where("o_totalprice > 300000"))
+    return left.rows.agg(F.count(F.lit(1)).alias("kept"), F.lit(n).cast("long").alias("deleted"))
 
-    def commit(self, tables) -> None:
-        self.tables.update(tables)
+
+@query("SELECT CAST(s_suppkey + 1 AS BIGINT) AS OBJECTID FROM supplier QUALIFY row_number() OVER (ORDER BY s_suppkey) NOT IN (1, 4, 8)")
+def delete_positions(spark, sf_dir):
+    return table_of(spark, sf_dir, "supplier").deleted_positions([0, 3, 7]).search(fields=[OID])
 
 
 def edited(spark: SparkSession, sf_dir: str, commit: bool) -> DataFrame:
-    workspace = InMemory(table_of(spark, sf_dir, "orders"))
-    session = EditSession(workspace)
+    """A session over a workspace in files; what a commit wrote is read by another one."""
+    workspace = Workspace.create(spark, scratch(spark, "workspace"))
+    workspace.add_table("orders", rows_of(spark, sf_dir, "orders").select(*FIELDS))
+    session = workspace.session()
     session.begin_transaction()
     session.edit("orders", lambda t: t.updated(QueryFilter.by_oid(1), {"o_orderstatus": "Z"}))
     session.start_operation()
@@ -311,7 +323,7 @@ def edited(spark: SparkSession, sf_dir: str, commit: bool) -> DataFrame:
     session.stop_operation()
     session.stop_operation()
     session.commit() if commit else session.abort()
-    return (workspace if commit else session).open("orders").search(fields=FIELDS)
+    return (Workspace(spark, workspace.root) if commit else session).open("orders").search(fields=FIELDS)
 
 
 @query(ORDERS)
@@ -413,3 +425,46 @@ def gdb_roundtrip(spark, sf_dir):
     rows_of(spark, sf_dir, "supplier").select(OID, "s_name", "s_nationkey", "s_acctbal").write.format("gdb").option("table", "Suppliers").mode("append").save(folder)
     rows = spark.read.format("gdb").option("table", "Suppliers").option("slotsPerPartition", 64).load(folder)
     return QueryFilter.where("s_acctbal > 0 OR s_nationkey = 3").apply(rows)
+
+
+#: Suppliers' ids as UUIDs, their shapes and XML, in a geodatabase.
+UUID_SQL = "printf('%08x-0000-4000-8000-%012x', s_suppkey, s_suppkey * 7)"
+XML_SQL = "printf('<a n=\"%d\"/>', s_nationkey)"
+
+
+def typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of all the types that only the format tells apart from texts and bytes, written and read back."""
+    from parcela.sources.gdb import datasource
+
+    folder = scratch(spark, "gdb")
+    x, y = F.col("s_nationkey").cast("double"), (F.col("s_suppkey") % 11) / F.lit(4.0)
+    shape = g.box_shape(x, y, x + 1.5, y + 2 + F.col("s_suppkey") % 3)
+    uuid, xml = F.format_string("%08x-0000-4000-8000-%012x", "s_suppkey", F.col("s_suppkey") * 7), F.format_string('<a n="%d"/>', "s_nationkey")
+    facts = {"SHAPE": {"kind": "geometry", "geometry_type": g.POLYGON}, "KEY": {"kind": "uuid"}, "DOC": {"kind": "xml"}}
+    made = {"SHAPE": F.when(F.col("s_suppkey") % 10 > 0, shape), "KEY": F.when(F.col("s_suppkey") % 7 > 0, uuid), "DOC": xml}
+    rows = rows_of(spark, sf_dir, "supplier").select(OID, *[c.alias(name, metadata=facts[name]) for name, c in made.items()])
+    spark.dataSource.register(datasource.GdbDataSource)
+    rows.write.format("gdb").option("table", "Typed").mode("append").save(folder)
+    return datasource.read(spark, folder, "Typed", slotsPerPartition=64)
+
+
+TYPED = f"(SELECT CAST(s_suppkey + 1 AS BIGINT) AS {OID}, CASE WHEN s_suppkey % 7 > 0 THEN {UUID_SQL} END AS KEY, {XML_SQL} AS DOC, s_suppkey % 10 > 0 AS shaped, CAST(s_nationkey AS DOUBLE) AS x0, s_suppkey % 11 / 4 AS y0, s_suppkey % 3 AS more FROM supplier) AS t"
+
+
+@query(f"SELECT {OID}, CASE WHEN shaped THEN x0 END AS xmin, CASE WHEN shaped THEN y0 END AS ymin, CASE WHEN shaped THEN x0 + 1.5 END AS xmax, CASE WHEN shaped THEN y0 + 2 + more END AS ymax, CASE WHEN shaped THEN CAST(5 AS BIGINT) END AS points, CASE WHEN shaped THEN 3 + 2.0 * (2 + more) END AS length FROM {TYPED}")
+def gdb_geometry(spark, sf_dir):
+    """Polygons written as shape blobs and read back: bounds, vertices and length, on the grid of the format."""
+    rows = typed_table(spark, sf_dir)
+    bounds = [F.round(f"SHAPE_{b}", 4).alias(b.lower()) for b in g.BOUNDS]
+    points = F.when(F.col("SHAPE").isNotNull(), F.size(g.points_of(F.col("SHAPE")))).cast("long").alias("points")
+    return rows.select(OID, *bounds, points, F.when(F.col("SHAPE").isNotNull(), F.round(g.length_of(F.col("SHAPE")), 4)).alias("length"))
+
+
+def typed_filter(name: str, text: str, where: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: QueryFilter.where(text).apply(typed_table(spark, sf_dir)).select(OID, "KEY", "DOC")
+    ORACLES[name] = f"SELECT {OID}, KEY, DOC FROM {TYPED} WHERE {where}"
+
+
+typed_filter("where_uuid", "KEY >= '00000003-0000-4000-8000-000000000000' AND NOT KEY = '00000005-0000-4000-8000-000000000023' OR KEY = '0000000A-0000-4000-8000-000000000046'", "coalesce(KEY >= '00000003-0000-4000-8000-000000000000', false) AND KEY IS DISTINCT FROM '00000005-0000-4000-8000-000000000023'")
+typed_filter("where_geometry", "SHAPE = 'x' OR SHAPE > 5 OR (SHAPE IS NULL AND NOT SHAPE = 1)", "NOT shaped")
+typed_filter("where_xml", """DOC = '<a n="3"/>' OR DOC > '<a n="7'""", """DOC = '<a n="3"/>' OR DOC > '<a n="7'""")

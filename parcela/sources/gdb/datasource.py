@@ -3,8 +3,11 @@
     spark.dataSource.register(GdbDataSource)
     spark.read.format("gdb").option("table", "Parcels").load("/data/city.gdb")
     rows.write.format("gdb").option("table", "Parcels").mode("overwrite").save("/data/city.gdb")
+    read(spark, "/data/city.gdb", "Parcels").where("OBJECTID in (5, 7)")
 
-A table is read in ranges of slots, each of which reads its own part of the index and of the rows. Tasks that write make
+A table is read in ranges of slots, each of which reads its own part of the index and of the rows, as Arrow batches. A
+schema given to the reader names the columns to read. Where Spark hands filters to Python sources (read() asks for it),
+those on OBJECTID leave out the slots that they exclude. Tasks that write make
 row files of their own, and the commit joins them into the table, since the format has one file for all rows.
 """
 
@@ -15,8 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcela.functions.geometry import BOUNDS, SHAPE_TYPE, from_row
 from parcela.functions.scalars import iso
@@ -25,6 +31,8 @@ from parcela.sources.gdb.tables import FIELDS_AT, ITEM_TYPES, Builder, Folder, T
 
 #: Slots that one task reads.
 PARTITION_SLOTS = 100_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2_000
 TYPES = {
     "int16": T.ShortType(),
     "int32": T.IntegerType(),
@@ -74,29 +82,72 @@ class Slots(InputPartition):
 
 
 class GdbReader(DataSourceReader):
-    def __init__(self, path: str, name: str, options: dict) -> None:
-        self.path, self.strict = path, options.get("mode", "").upper() == "FAILFAST"
+    """Reads the columns of the struct from the slots from `first` on and before `last`, and of these, if `oids` is not
+    None, from the range that holds them all in each partition."""
+
+    def __init__(self, path: str, name: str, options: dict, struct: T.StructType | None = None) -> None:
+        self.path, self.strict, self.struct = path, options.get("mode", "").upper() == "FAILFAST", struct
         self.step = int(options.get("slotsPerPartition", PARTITION_SLOTS))
         self.number = int(name) if name.isdigit() and options.get("byNumber") else find(path, name).file_id
+        self.first, self.last, self.oids = 0, None, None
 
     def table(self) -> TableFile:
         return TableFile.open(self.path, self.number)
 
     def partitions(self) -> list[Slots]:
         slots = self.table().slots
-        return [Slots(first, min(first + self.step, slots)) for first in range(0, slots, self.step)] or [Slots(0, 0)]
-
-    def read(self, partition: Slots) -> Iterator[tuple]:
+        last = slots if self.last is None else min(self.last, slots)
+        out = [Slots(first, min(first + self.step, last)) for first in range(self.first, last, self.step)]
+        if self.oids is not None:
+            wanted = sorted(o - 1 for o in self.oids if self.first < o <= last)
+            groups: dict[int, list[int]] = {}
+            for slot in wanted:
+                groups.setdefault((slot - self.first) // self.step, []).append(slot)
+            out = [Slots(g[0], g[-1] + 1) for g in groups.values()]
+        return out or [Slots(0, 0)]
+
+    def read(self, partition: Slots) -> Iterator[pa.RecordBatch]:
         table = self.table()
+        names = [f.name for f in table.schema.fields]
         at = table.schema.index(table.schema.shape.name) if table.schema.shape else None
+        shape, corners = names[at] if at is not None else None, {}
+        if shape is not None:
+            corners = {f"{shape}_{b}": k for k, b in enumerate(BOUNDS)}
+        form = to_arrow_schema(self.struct or struct_of(table.schema))
+        rows: list[list] = []
+
+        def column(f: pa.Field) -> pa.Array:
+            if f.name in corners and f.name not in names:
+                return pa.array([r[at].bounds[corners[f.name]] if r[at] and r[at].bounds else None for r in rows], f.type)
+            if f.name == shape:
+                return pa.array([r[at] and r[at].row() for r in rows], f.type)
+            k = names.index(f.name)
+            return pa.array([r[k] for r in rows], f.type)
+
         for row in table.rows(partition.first, partition.last, self.strict):
-            if at is None:
-                yield tuple(row)
-            else:
-                shape = row[at]
-                bounds = shape.bounds if shape else None
-                value = (shape.kind, [[tuple(p) for p in part] for part in shape.parts]) if shape else None
-                yield (*row[:at], value, *(bounds or (None,) * 4), *row[at + 1 :])
+            rows.append(row)
+            if len(rows) == BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([column(f) for f in form], schema=form)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([column(f) for f in form], schema=form)
+
+
+class FilteringReader(GdbReader):
+    """A reader that is handed filters; Spark applies them again to what is read."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if getattr(f, "attribute", None) == (OBJECT_ID.name,):
+                if isinstance(f, (EqualTo, In)):
+                    listed = {v for v in ([f.value] if isinstance(f, EqualTo) else f.value) if v is not None}
+                    self.oids = listed if self.oids is None else self.oids & listed
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, f.value - isinstance(f, GreaterThanOrEqual))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    last = max(0, f.value - isinstance(f, LessThan))
+                    self.last = last if self.last is None else min(self.last, last)
+            yield f
 
 
 @dataclass
@@ -179,8 +230,8 @@ class GdbWriter(DataSourceWriter):
 
 
 class GdbDataSource(DataSource):
-    """Options: path, table (its name), mode (FAILFAST: shapes that can't be read are an error), slotsPerPartition, and
-    byNumber (table is then the file's number)."""
+    """Options: path, table (its name), mode (FAILFAST: shapes that can't be read are an error), slotsPerPartition,
+    byNumber (table is then the file's number), and filters (true where spark.sql.python.filterPushdown.enabled is)."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,7 +247,19 @@ class GdbDataSource(DataSource):
         return struct_of(reader.table().schema)
 
     def reader(self, schema: T.StructType) -> GdbReader:
-        return GdbReader(*self.wanted(), self.options)
+        kind = FilteringReader if self.options.get("filters", "").lower() == "true" else GdbReader
+        return kind(*self.wanted(), self.options, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> GdbWriter:
         return GdbWriter(*self.wanted(), schema, overwrite)
+
+
+def read(spark: SparkSession, path: str, table: str, columns: tuple[str, ...] | None = None, **options: object) -> DataFrame:
+    """A table of a geodatabase, or these columns of it, with filters on OBJECTID handed to the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GdbDataSource)
+    reader = spark.read.format("gdb").options(table=table, filters="true", **options)
+    if columns is not None:
+        whole = struct_of(GdbReader(path, table, options).table().schema)
+        reader = reader.schema(T.StructType([whole[c] for c in columns]))
+    return reader.load(path)

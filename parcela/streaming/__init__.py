@@ -16,15 +16,13 @@ def matching(stream: DataFrame, where: QueryFilter, **how) -> DataFrame:
 def into_table(stream: DataFrame, workspace: Workspace, name: str, checkpoint: str, **trigger):
     """Starts a query that adds each batch of a stream to a table, under new object ids.
 
-    A batch is one commit. The last batch's number is kept beside the data, in the field batch of the table's metadata
-    folder, so that a batch that comes again after a failure is not added twice.
+    A batch is one commit, whose manifest names the batch too, so a batch that comes again after a failure, wherever that
+    was, is not added twice.
     """
-    done = f"{workspace.root}/{name}.batch"
+    source = f"{name} from {checkpoint}"
 
     def add(rows: DataFrame, batch: int) -> None:
-        if workspace.files.exists(done) and int(workspace.files.read(done)) >= batch:
-            return
-        workspace.save(workspace.open(name).inserted(rows))
-        workspace.files.replace(done, str(batch))
+        if workspace.last_batch(source) < batch:
+            workspace.commit({name: workspace.open(name).inserted(rows)}, batch=(source, batch))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -9,7 +9,7 @@ from parcela import cli
 from parcela.functions import geometry as g
 from parcela.functions import scalars
 from parcela.operators.filters import QueryFilter
-from parcela.sources.gdb import codec
+from parcela.sources.gdb import codec, datasource
 from parcela.sources.gdb.codec import Field, FormatError, Grid, Input, Schema
 from parcela.sources.gdb.datasource import GdbDataSource
 from parcela.sources.gdb.tables import Builder, Folder, TableFile, catalog, write_table
@@ -184,3 +184,17 @@ def test_typed_columns(spark):
     for text, kind in (("70000", "int16"), ("1_0", "int32"), ("x", "float64"), ("12", "uuid"), ("2024", "date"), ("-1", "oid")):
         with pytest.raises(Exception, match="not a value"):
             typed(text, kind)
+
+
+def test_filters_and_columns_reach_the_reader(spark, tmp_path):
+    spark.dataSource.register(GdbDataSource)
+    path = str(tmp_path / "f.gdb")
+    rows = spark.createDataFrame([(i, f"n{i}", i / 2) for i in range(1, 501)], "OBJECTID long, Name string, Val double")
+    rows.coalesce(2).write.format("gdb").option("table", "P").mode("append").save(path)
+    found = datasource.read(spark, path, "P", slotsPerPartition=50).where("OBJECTID in (7, 8, 420) and Val > 3.6")
+    assert sorted(map(tuple, found.collect())) == [(8, "n8", 4.0), (420, "n420", 210.0)]
+    assert found.rdd.getNumPartitions() == 2
+    some = datasource.read(spark, path, "P", columns=("Val", "OBJECTID"), slotsPerPartition=50).where("OBJECTID > 480 and OBJECTID <= 482")
+    assert some.columns == ["Val", "OBJECTID"] and sorted(map(tuple, some.collect())) == [(240.5, 481), (241.0, 482)]
+    assert some.rdd.getNumPartitions() == 1
+    assert datasource.read(spark, path, "P").where("OBJECTID = 9999").collect() == []

@@ -6,8 +6,8 @@ from parcela.functions import geometry as g
 from parcela.functions.spatial import CONTAINS, INTERSECTS
 from parcela.functions.where import FilterError
 from parcela.operators.filters import QueryFilter
-from parcela.operators.table import EditError, FeatureTable
-from parcela.sources.workspace import CatalogError, Workspace
+from parcela.operators.table import EditError, FeatureTable, numbered
+from parcela.sources.workspace import CatalogError, ConflictError, Workspace
 
 RING = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
 
@@ -61,6 +61,37 @@ def test_inserts(table):
         table.inserted([{"nope": 1}])
 
 
+def skewed(spark, n):
+    return spark.range(n, numPartitions=7).selectExpr("id", "if(id % 3 = 0, 0, id % 1000) as t", "repeat('x', int(id % 50)) as filler")
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "60"}])
+def test_numbering_of_shuffled_rows(spark, conf):
+    """Every row stays, under a dense id of its own, however the plan deals the rows."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = skewed(spark, 60_000).repartition("t")
+        out, n = numbered(rows, 5)
+        facts = out.selectExpr("count(*)", "count(distinct OBJECTID)", "min(OBJECTID)", "max(OBJECTID)", "count(distinct id)").first()
+        assert n == 60_000 and tuple(facts) == (n, n, 5, n + 4, n)
+        more = FeatureTable("t", out, n + 5).inserted(rows)
+        assert more.next_oid == 2 * n + 5 and more.rows.selectExpr("count(distinct OBJECTID)").first()[0] == 2 * n
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_deletes_by_position_handle_and_count(table):
+    assert table.deleted_positions([0, 2]).query_oids() == [3, 5] and table.deleted_positions([]).count() == 4
+    with pytest.raises(EditError):
+        table.deleted_positions([4])
+    assert table.deleted_row(table.get(4)).query_oids() == [2, 3, 5]
+    left, n = table.deleted_with_count(QueryFilter.by_oids([2, 2, 99, 5]))
+    assert (left.query_oids(), n) == ([3, 4], 2)
+
+
 def test_filter_algebra():
     a, b = g.point(0, 0), g.point(1, 1)
     where = QueryFilter.where("x = 1")
@@ -127,6 +158,35 @@ def test_sessions(workspace):
     assert workspace.open("T1").query_oids() == [1, 3]
 
 
+def test_commits_at_one_time(spark, workspace):
+    """Two sessions that change one table: the second commit fails, and nothing of the first is undone."""
+    workspace.add_table("T2", spark.createDataFrame([("q",)], "Name string"))
+    one, two, three = workspace.session(), workspace.session(), workspace.session()
+    for session, name, oid in ((one, "T1", 1), (two, "T1", 2), (three, "T2", 1)):
+        session.start()
+        session.open("T2" if name == "T1" else "T1")  # only read
+        session.edit(name, lambda t, oid=oid: t.deleted(QueryFilter.by_oid(oid)))
+    version = next(i["version"] for i in workspace.manifest() if i["name"] == "T2")
+    one.commit()
+    assert next(i["version"] for i in workspace.manifest() if i["name"] == "T2") == version  # unchanged tables aren't written
+    with pytest.raises(ConflictError):
+        two.commit()
+    three.commit()
+    assert workspace.open("T1").query_oids() == [2, 3] and workspace.open("T2").count() == 0
+    assert one.open("T1").query_oids() == [2, 3]
+
+
+def test_a_batch_that_comes_again(spark, workspace, tmp_path):
+    """A crash after the commit of a batch and before the stream notes it: the batch is not added twice."""
+    rows = spark.createDataFrame([("s", 9)], "Name string, Val int")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("Name string, Val int").parquet(str(tmp_path / "in"))
+    checkpoint = str(tmp_path / "c")
+    workspace.commit({"T1": workspace.open("T1").inserted(rows)}, batch=(f"T1 from {checkpoint}", 0))
+    streaming.into_table(stream, workspace, "T1", checkpoint).awaitTermination()
+    assert workspace.open("T1").query_oids() == [1, 2, 3, 4]
+
+
 def test_abort_without_operation_keeps_memory_only(workspace):
     session = workspace.session()
     session.start()
