@@ -5,18 +5,20 @@ order, so two texts agree on a sketch if they share these k-mers in that order,
 a k-mer is a run of KMER words; a k-mer that comes again counts as another one (its occurrence is part of what is hashed).
 
 Exact copies are one node. Nodes that agree on a sketch share a bucket. In a bucket every node is compared with one of
-them, the hub, never with all: copies of one text thus cost one comparison each. A passage that many unlike texts share
-fills buckets too; the k-mers of sketches that brought a node together with an unlike hub are therefore left out of the
-next round, in which such nodes are sketched and compared anew, as long as the last round found links. These k-mers are
-held in a filter of a fixed number of bits; a bit that two k-mers share leaves out both, in all texts alike.
+them of about its length, the hub, never with all: copies of one text thus cost one comparison each. Lengths are cut into
+cells twice, so that any two that may be alike share a cell.
 
-Buckets of any round whose nodes are then in several classes are settled: of all their pairs across classes, those are
-aligned that share one of their rarest words, which pairs that are alike must (a text of n words needs n * SIMILARITY of
-them in the other, so one at least among any n - n * SIMILARITY + 1). No pair of nodes that share a bucket is left out.
+Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are settled by a
+prefix filter: of all their pairs across classes, those are aligned that share one of their rarest words, which texts that
+are alike must. An edit changes at most GRAM of a text's runs of GRAM words, so among the GRAM * (1 - SIMILARITY) * n + 1
+rarest runs of a text of n words one at least is also in the other. No pair of nodes that share a bucket is left out.
 
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
 distance allowed, in bit vectors.
+
+A key that more than a thousandth of the rows have (a thousand keys at most) is hot: rows are dealt by it and a salt, to
+as many copies of what they join.
 """
 
 from __future__ import annotations
@@ -36,12 +38,11 @@ from parcela.llm.common import Steps, list_array, sized_parts, text_or_empty
 KMER, MINIMA, SKETCHES = 5, 2, 48
 SIMILARITY = 0.8
 PART_BYTES = 1_500_000
-#: Bits of the filter of k-mers to leave out, as a power of two.
-FILTER_BITS = 24
-#: Bins in which words are counted to tell the rare ones, as a power of two.
-COUNT_BITS = 18
-#: Ids that are broadcast to pick the texts to compare; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Words in the runs that settle buckets, and bins in which runs are counted to tell the rare ones, as a power of two. The
+#: counts order the runs; which pairs are alike doesn't depend on them.
+GRAM, COUNT_BITS = 1, 18
+#: A key is hot if more rows have it than this, and than this share of all; its rows go to so many tasks.
+HOT_ROWS, HOT_SHARE, SALTS = 1000, 0.001, 64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Multipliers of the words of a k-mer.
@@ -116,28 +117,14 @@ def kmers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed(total[valid]), np.maximum(counts - KMER + 1, 1)
 
 
-def filter_places(mers: np.ndarray) -> list[np.ndarray]:
-    """The two bits of each k-mer in the filter."""
-    return [(mers >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1) for shift in (0, 64 - FILTER_BITS)]
-
-
-def sketches(hashes: np.ndarray, counts: np.ndarray, n_sketches: int = SKETCHES, without: np.ndarray | None = None) -> np.ndarray:
-    """The sketches of every text, MINIMA k-mers each, in one row. Texts without words have rows of zeros.
-
-    without: the filter, as 64-bit words, of k-mers to leave out; a text with no others keeps all of its own.
-    """
+def sketches(hashes: np.ndarray, counts: np.ndarray, n_sketches: int = SKETCHES) -> np.ndarray:
+    """The sketches of every text, MINIMA k-mers each, in one row. Texts without words have rows of zeros."""
     out = np.zeros((len(counts), n_sketches, MINIMA), np.uint64)
     filled = np.flatnonzero(counts)
     if not len(filled):
         return out
     mers, sizes = kmers(hashes, counts[filled])
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    if without is not None:
-        stay = ~np.logical_and.reduce([without[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1 for p in filter_places(mers)])
-        left = np.add.reduceat(stay.astype(np.int64), begins)
-        stay |= np.repeat(left == 0, sizes)
-        mers, sizes = mers[stay], np.where(left == 0, sizes, left)
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     of = np.repeat(np.arange(len(filled)), sizes)
     own = mers ^ mixed(of.astype(np.uint64) + np.uint64(1))
     order = np.argsort(own, kind="stable")
@@ -225,16 +212,20 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return 1 - distance / longer if distance <= most else 0.0
 
 
-SKETCHED = "key long, node binary, n int, sketches array<long>"
+SKETCHED = "key long, node binary, n int, buckets array<long>"
 
 
-def sketch_lists(hashes: np.ndarray, counts: np.ndarray, n_sketches: int, without: np.ndarray | None = None) -> pa.ListArray:
-    some = counts > 0
-    return list_array(sketches(hashes, counts, n_sketches, without)[some].view(np.int64).ravel(), some * (n_sketches * MINIMA))
+def buckets(hashes: np.ndarray, counts: np.ndarray, n_sketches: int = SKETCHES) -> np.ndarray:
+    """A name for each sketch of every text: equal for texts that agree on it."""
+    mers = sketches(hashes, counts, n_sketches)
+    names = np.broadcast_to(np.arange(1, n_sketches + 1, dtype=np.uint64) * np.uint64(BASE), mers.shape[:2])
+    for k in range(MINIMA):
+        names = mixed(names + mers[:, :, k])
+    return names.view(np.int64)
 
 
 def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", n_sketches: int = SKETCHES) -> DataFrame:
-    """key, node (digest of the text), n (words) and sketches (none for a text without words) of every row."""
+    """key, node (digest of the text), n (words) and buckets (none for a text without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,23 +234,13 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text", n_sketche
                 texts = part.column(1).to_pylist()
                 hashes, counts = words(texts)
                 nodes = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), sketch_lists(hashes, counts, n_sketches)], ["key", "node", "n", "sketches"])
+                some = counts > 0
+                named = list_array(buckets(hashes, counts, n_sketches)[some].ravel(), some * n_sketches)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), named], ["key", "node", "n", "buckets"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, SKETCHED)
 
 
-def sketched_again(texts: DataFrame, n_sketches: int, without: np.ndarray) -> DataFrame:
-    """node, n and sketches of texts(node, words), without the k-mers of the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]
-            counts = np.array([len(r) for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), sketch_lists(np.concatenate(rows), counts, n_sketches, without)], ["node", "n", "sketches"])
-
-    return texts.select("node", "words").mapInArrow(run, "node binary, n int, sketches array<long>")
-
-
 def word_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """node and words (binary, u32) of the wanted nodes' texts; wanted(node, key) has the key of one row of each."""
 
@@ -273,13 +254,30 @@ def word_rows(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(rows, pa.binary())], ["node", "words"])
 
     wanted = wanted.select(F.col("key").alias("wanted"))
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(wanted) if few else wanted, F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
+    texts = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).join(wanted, F.col("key").eqNullSafe(F.col("wanted")), "left_semi")
     return texts.select("text").mapInArrow(run, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words"))
 
 
+def hot_keys(counts: DataFrame, key: str, n: int) -> list:
+    """The hot ones among the keys of counts(key, rows), of n rows in all: fewer than 1 / HOT_SHARE."""
+    return [r[0] for r in counts.where(F.col("rows") > max(HOT_ROWS, int(n * HOT_SHARE))).select(key).collect()]
+
+
+def hot_keys_of(rows: DataFrame, key: str) -> list:
+    return hot_keys(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")), key, rows.count())
+
+
+def salted_join(rows: DataFrame, other: DataFrame, key: str, hot: list, by: str, how: str = "inner") -> DataFrame:
+    """rows joined to other(key, ..), which has one row for each key; a hot key's rows are dealt by their column `by` too."""
+    if not hot:
+        return rows.join(other, key, how)
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)).alias("salt")
+    salts = F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    return rows.select("*", salt).join(other.select("*", salts), [key, "salt"], how).drop("salt")
+
+
 def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs(node, hub) whose similarity is at least so much."""
+    """The pairs(node, hub), in a written table, whose similarity is at least so much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,21 +285,12 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             alike = pa.array([similarity(a, b, least) > 0 for a, b in zip(one, other, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(alike), batch.column("hub").filter(alike)], ["node", "hub"])
 
-    joined = pairs.join(texts.withColumnRenamed("words", "one"), "node").join(texts.select(F.col("node").alias("hub"), F.col("words").alias("other")), "hub")
+    ones = salted_join(pairs, texts.withColumnRenamed("words", "one"), "node", hot_keys_of(pairs, "node"), "hub")
+    others = texts.select(F.col("node").alias("hub"), F.col("words").alias("other"))
+    joined = salted_join(ones, others, "hub", hot_keys_of(pairs, "hub"), "node")
     return joined.select("node", "hub", "one", "other").mapInArrow(run, "node binary, hub binary")
 
 
-def filter_of(mers: DataFrame, before: np.ndarray | None) -> np.ndarray:
-    """The filter of these k-mers (column mer) and those before: at most 2 ** FILTER_BITS / 64 rows come to the driver."""
-    mask = F.lit((1 << FILTER_BITS) - 1)
-    places = F.explode(F.array(F.col("mer").bitwiseAND(mask), F.shiftrightunsigned("mer", 64 - FILTER_BITS)))
-    held = mers.select(places.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << FILTER_BITS - 6, np.uint64) if before is None else before.copy()
-    for r in held.collect():
-        out[r["at"]] |= np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-    return out
-
-
 def condensed(links: DataFrame) -> DataFrame:
     """Links that join the same nodes, with one for each node and one for each pair of hubs that share a node: a node's
     hubs, no more than the sketches of all rounds, are joined to the smallest of them."""
@@ -316,95 +305,126 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
     Every round takes the smallest label among a node and its neighbours, then that label's own label, so the rounds
     needed grow with the logarithm of a component's width. Each round is a written table.
     """
-    both = links.select("node", F.col("hub").alias("other")).union(links.select(F.col("hub"), F.col("node")))
-    labels = steps.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    both = steps.write(links.select("node", F.col("hub").alias("other")).union(links.select(F.col("hub"), F.col("node"))))
+    n, crowds = both.count(), hot_keys_of(both, "other")
+    labels, hot = steps.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "theirs").alias("label"))
+        if hot is None:
+            hot = hot_keys_of(labels, "label")
+        theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
+        near = salted_join(both, theirs, "other", crowds, "node").groupBy("node").agg(F.min("theirs").alias("theirs"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = steps.write(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        jumped = salted_join(labels, jump, "label", hot, "node", "left")
+        lower = F.least("label", "theirs", F.coalesce("further", "label"))
+        new = steps.write(jumped.join(near, "node").select("node", F.col("label").alias("was"), lower.alias("label")))
+        at = steps.n
         labels = new.select("node", "label")
-        if new.where("was != label").limit(1).count() == 0:
+        facts = new.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("was") != F.col("label")).alias("moved"))
+        most = max(HOT_ROWS, int(n * HOT_SHARE))
+        facts = facts.agg(F.max("moved").alias("moved"), F.collect_list(F.when(F.col("rows") > most, F.col("label"))).alias("hot")).first()
+        if not facts["moved"]:
             return labels
+        hot = list(facts["hot"])
 
 
-def word_tokens(row: np.ndarray) -> np.ndarray:
-    """The words of a text, as 64-bit hashes; a word that comes again counts as another one."""
-    order = np.sort(row)
-    again = np.append(False, order[1:] == order[:-1])[: len(order)]
-    place = np.arange(len(order))
-    return mixed(order.astype(np.uint64) << np.uint64(32) | (place - np.maximum.accumulate(np.where(again, 0, place))).astype(np.uint64))
+def rare_runs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of GRAM words of texts, as many as words (before the first there are marks), as 64-bit hashes; a run that
+    comes again counts as another one. Also each run's text, and each text's number of runs."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    of = np.repeat(np.arange(len(rows)), sizes)
+    hashes = mixed(np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.uint64))
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    total = hashes * TURNS[0]
+    for k in range(1, GRAM):
+        before = np.concatenate([np.zeros(k, np.uint64), hashes])[: len(hashes)]
+        total += np.where(place >= k, before, np.uint64(k)) * TURNS[k]
+    runs = mixed(total)
+    order = np.lexsort((runs, of))
+    runs, of = runs[order], of[order]
+    again = np.append(False, (runs[1:] == runs[:-1]) & (of[1:] == of[:-1]))[: len(runs)]
+    at = np.arange(len(runs))
+    occurrence = at - np.maximum.accumulate(np.where(again, 0, at)) if len(at) else at
+    return mixed(runs + occurrence.astype(np.uint64) * np.uint64(BASE)), of, sizes
 
 
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """How many texts(node, words) have tokens of each bin; at most 2 ** COUNT_BITS rows come to the driver."""
+def bins_of(runs: np.ndarray) -> np.ndarray:
+    return (runs >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def run_counts(texts: DataFrame) -> np.ndarray:
+    """How many runs of texts(node, words) are in each bin; 2 ** COUNT_BITS rows at most come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                held += np.bincount((word_tokens(np.frombuffer(x.as_buffer(), np.uint32)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(held))
+            runs, _, _ = rare_runs([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)])
+            held += np.bincount(bins_of(runs), minlength=len(held))
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["bin", "held"])
 
+    found = texts.select("words").mapInArrow(run, "bin long, held long").groupBy("bin").agg(F.sum("held").alias("held")).toArrow()
     out = np.zeros(1 << COUNT_BITS, np.int64)
-    for r in texts.select("words").mapInArrow(run, "bin long, held long").groupBy("bin").agg(F.sum("held").alias("held")).collect():
-        out[r["bin"]] = r["held"]
+    out[found.column("bin").to_numpy()] = found.column("held").to_numpy()
     return out
 
 
-def rarest_tokens(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """node and token of the rarest words of texts(node, words), as many as texts that are alike can't all differ in."""
+def rarest_runs(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """node and token of the rarest runs of texts(node, words), as many as texts that are alike can't all differ in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                tokens = word_tokens(np.frombuffer(x.as_buffer(), np.uint32))
-                rare = np.lexsort((tokens, counts[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
-                rows.append(tokens[rare[: int(len(tokens) * (1 - least) + 1e-9) + 1]].view(np.int64))
-            sizes = np.array([len(r) for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), sizes))), pa.array(np.concatenate(rows))], ["node", "token"])
+            runs, of, sizes = rare_runs([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)])
+            order = np.lexsort((runs, counts[bins_of(runs)], of))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = order[rank < np.repeat((sizes * min(1.0, GRAM * (1 - least)) + 1e-9).astype(np.int64) + 1, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[kept])), pa.array(runs[kept].view(np.int64))], ["node", "token"])
 
     return texts.select("node", "words").mapInArrow(run, "node binary, token long")
 
 
+def length_cells(least: float) -> Column:
+    """Two cells of a length n (column n); lengths of which one is at least that part of the other have one in common."""
+    x = F.log(F.col("n").cast("double")) / -np.log(least)
+    return F.array(*[F.struct(F.lit(k).alias("grid"), F.floor((x + k) / 2).alias("cell")) for k in (0, 1)])
+
+
 def alike_lengths(least: float) -> Column:
     return F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
 
 
-def settled(rounds: list[DataFrame], labels: DataFrame, tested: DataFrame, texts: DataFrame, least: float, steps: Steps) -> DataFrame:
-    """Further links(node, hub) among nodes that share a bucket of a round and are in different classes so far.
+def settled(members: DataFrame, hot: list, labels: DataFrame, tested: DataFrame, texts: DataFrame, least: float, steps: Steps) -> DataFrame:
+    """Further links(node, hub) among members(bucket, node, n) that share a bucket and are in different classes so far.
 
-    Buckets with the same nodes are one. Tokens that a single class has are dropped before they meet the buckets, and
-    classes are paired before their nodes are, so the copies of one class never meet each other.
+    Buckets with the same nodes are one. Runs that a single class has are dropped before they meet the buckets, and
+    classes are paired before their nodes are, so the copies of one class never meet each other. Nodes and classes go by
+    64-bit digests here; two nodes with one digest cost an alignment more, two classes with one (a chance of 2^-64 for each
+    two) would not be compared.
     """
-    each = None
-    for k, members in enumerate(rounds):
-        bucket = F.xxhash64(F.lit(k), "bucket").alias("bucket")
-        here = members.select(bucket, "node", "n").union(members.select(bucket, F.col("hub"), F.col("hub_n")).distinct())
-        each = here if each is None else each.union(here)
-    each = steps.write(each.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
+    named = F.coalesce("label", "node").alias("label")
+    each = steps.write(salted_join(members, labels, "node", [], "bucket", "left").select("bucket", "node", "n", named))
     at = steps.n
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     open_ = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("nodes"), *marks).where("low != high")
     groups = open_.groupBy("x0", "x1", "nodes").agg(F.min("bucket").alias("bucket")).select("bucket")
-    each = steps.write(each.join(groups, "bucket"))
+    each = steps.write(salted_join(each, groups, "bucket", hot, "node"))
     steps.drop(at)
-    named = each.select("node", "label").distinct()
-    held = texts.join(named, "node", "left_semi")
-    tokens = rarest_tokens(held, token_counts(held), least).join(named, "node")
-    shared = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("token")
-    tokens = steps.write(tokens.join(shared, "token").select("node", "token"))
-    by = ["bucket", "token"]
-    rows = each.join(tokens, "node")
-    crowded = rows.groupBy(*by).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*by)
-    rows = steps.write(rows.join(crowded, by))
-    kinds = rows.select(*by, "label").distinct()
-    crossed = kinds.join(kinds.withColumnRenamed("label", "other"), by).where("label < other")
-    ones = crossed.join(rows, [*by, "label"])
-    others = rows.select(*by, F.col("label").alias("other"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = ones.join(others, [*by, "other"]).where(alike_lengths(least)).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+    names = steps.write(each.select("node", "n", F.xxhash64("node").alias("id"), F.xxhash64("label").alias("kind")).distinct())
+    held = texts.join(names, "node", "left_semi")
+    tokens = rarest_runs(held, run_counts(held), least).join(names, "node").select("id", "kind", "token")
+    shared = tokens.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low != high").select("token")
+    tokens = steps.write(tokens.join(shared, "token"))
+    rows = each.select("bucket", F.xxhash64("node").alias("id")).join(tokens, "id").select(F.xxhash64("bucket", "token").alias("at"), "id", "kind")
+    crowded = rows.groupBy("at").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low != high").select("at")
+    rows = steps.write(rows.join(crowded, "at"))
+    kinds = steps.write(rows.select("at", "kind").distinct())
+    crossed = kinds.join(kinds.select("at", F.col("kind").alias("other")), "at").where("kind < other")
+    ones = crossed.join(rows, ["at", "kind"])
+    others = rows.select("at", F.col("kind").alias("other"), F.col("id").alias("other_id"))
+    met = ones.join(others, ["at", "other"]).select("id", "other_id").distinct()
+    one = names.select("id", "node", "n")
+    other = names.select(F.col("id").alias("other_id"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    pairs = met.join(one, "id").join(other, "other_id").where(alike_lengths(least))
+    pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub"))
     return steps.write(aligned(steps.write(pairs.join(tested, ["node", "hub"], "left_anti")), texts, least))
 
 
@@ -421,11 +441,12 @@ def with_nodes(docs: DataFrame, text: str = "text", node: str = "node") -> DataF
     return docs.mapInArrow(run, f"{kinds}, `{node}` binary")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, n_sketches: int = SKETCHES, keep: tuple[str, ...] = ("key", "class_id")) -> DataFrame:
-    """key and class_id of every row: the smallest key among all rows whose texts belong together.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY, n_sketches: int = SKETCHES, keep: tuple[str, ...] = ("key", "class_id", "links")) -> DataFrame:
+    """For every row key, class_id (the smallest key among all rows whose texts belong together) and links (verified
+    links of its text to other texts).
 
     keep: columns of the result, also node (the text's digest) and label (a node that names the class; unlike class_id it
-    tells classes apart that share a key or have none).
+    tells classes apart that share a key or have none). Other columns of docs are not read, so their names don't matter.
 
     Rows with equal texts always belong together; a null text counts as empty. Texts without any word are like their
     exact copies only. Rows without a key have the class of their text's other rows, or a null class if no row of the
@@ -434,43 +455,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     steps = Steps(docs.sparkSession, "near")
     every = steps.write(sketched(docs, key, text, n_sketches))
     rows = steps.write(every.select("key", "node"))
-    keys = rows.groupBy("node").agg(F.min("key").alias("key"))
-    nodes = steps.write(every.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches")))
+    keys = rows.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("rows"))
+    nodes = steps.write(every.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets")))
     steps.drop(1)
     at = steps.n
-    links, tested, texts, without, rounds = None, None, None, None, []
-    while True:
-        each = F.transform(F.sequence(F.lit(0), F.lit(n_sketches - 1)), lambda s: F.struct(s.alias("s"), *[F.get("sketches", s * MINIMA + k).alias(f"m{k}") for k in range(MINIMA)]))
-        mers = [f"m{k}" for k in range(MINIMA)]
-        members = nodes.where(F.size("sketches") > 0).select("node", "n", F.explode(each).alias("e")).select("node", "n", "e.*")
-        members = members.select("node", "n", *mers, F.xxhash64("s", *mers).alias("bucket"))
-        crowded = steps.write(members.groupBy("bucket").count().where("count > 1").select("bucket"))
-        members = steps.write(members.join(crowded, "bucket"))
-        steps.drop(at)
-        hubs = steps.write(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-        members = steps.write(members.join(hubs, "bucket").where("node != hub"))
-        if texts is None:
-            wanted = members.select("node").union(members.select("hub")).distinct().join(keys, "node")
-            texts = steps.write(word_rows(docs, steps.write(wanted), key, text))
-        rounds.append(members)
-        pairs = members.where(alike_lengths(least)).select("node", "hub").distinct()
-        pairs = steps.write(pairs if tested is None else pairs.join(tested, ["node", "hub"], "left_anti"))
-        found = steps.write(aligned(pairs, texts, least))
-        more = found.limit(1).count() > 0
-        links, tested, first = (found, pairs, True) if links is None else (links.union(found), tested.union(pairs), False)
-        unlike = members.join(links, ["node", "hub"], "left_anti")
-        if not (more or first) or unlike.limit(1).count() == 0:
-            break
-        without = filter_of(unlike.select(F.explode(F.array(*mers)).alias("mer")).distinct(), without)
-        nodes = steps.write(sketched_again(texts.join(unlike.select("node").distinct(), "node", "left_semi"), n_sketches, without))
-        at = steps.n
-    links = steps.write(condensed(links))
-    labels = components(links, steps)
-    further = settled(rounds, labels, tested, texts, least, steps)
+    members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
+    crowded = steps.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    hot = hot_keys(crowded, "bucket", nodes.count() * n_sketches)
+    members = steps.write(salted_join(members, crowded.select("bucket"), "bucket", hot, "node"))
+    steps.drop(at)
+    near = members.select("bucket", "node", "n", F.explode(length_cells(least)).alias("at")).select(F.xxhash64("bucket", "at").alias("cell"), "node", "n")
+    hubs = near.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    hubs = steps.write(hubs.select("cell", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "rows"))
+    crowds = hot_keys(hubs, "cell", 2 * members.count())
+    wanted = members.select("node").distinct().join(keys, "node")
+    texts = steps.write(word_rows(docs, steps.write(wanted), key, text))
+    pairs = salted_join(near, hubs.drop("rows"), "cell", crowds, "node").where("node != hub").where(alike_lengths(least))
+    tested = steps.write(pairs.select("node", "hub").distinct())
+    links = steps.write(aligned(tested, texts, least))
+    labels = components(steps.write(condensed(links)), steps)
+    further = settled(members, hot, labels, tested, texts, least, steps)
     if further.limit(1).count() > 0:
-        labels = components(steps.write(links.union(further)), steps)
-    named = labels.join(keys, "node").groupBy("label").agg(F.min("key").alias("class_id"))
-    linked = steps.write(labels.join(named, "label").select("node", "label", "class_id"))
+        links = links.union(further)
+        labels = components(steps.write(condensed(links)), steps)
+    ends = links.select("node").union(links.select("hub")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    labels = steps.write(labels.join(ends, "node").join(keys, "node"))
+    named = labels.groupBy("label").agg(F.min("key").alias("class_id"))
+    linked = salted_join(labels.select("node", "label", "links"), named, "label", hot_keys_of(labels, "label"), "node")
     own = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id")
-    classes = steps.write(keys.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"), own))
-    return steps.result(rows.select("key", "node").join(classes, "node").select(*keep), "classes")
+    classes = keys.join(linked, "node", "left").select("node", "rows", F.coalesce("label", "node").alias("label"), own, F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    classes = steps.write(classes)
+    copied = hot_keys(classes, "node", rows.count())
+    return steps.result(salted_join(rows, classes.drop("rows"), "node", copied, "key").select(*keep), "classes")
