@@ -1,9 +1,10 @@
 """Secret scans over a ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger is a table with one row for each pair
-of blob and rule version that has been scanned: the spans found, or none. A scan takes the pairs that the ledger lacks,
-reads each such blob once however many paths hold it, adds their rows to the ledger, and joins the findings back to all
-paths. A new rule version makes the pairs of that rule unseen again and leaves the others alone.
+of blob and rule version that has been scanned: the spans found, or none. A scan writes the addresses of all versions,
+asks the ledger which pairs it lacks, and only then fetches contents: of each blob that has such pairs once, however many
+paths hold it. It adds their rows to the ledger and joins the findings back to all paths. A new rule version makes the
+pairs of that rule unseen again and leaves the others alone. Where nothing is unseen, no content is fetched or shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.llm.common import text_or_empty
+from parcela.llm.common import text_or_empty, written
 from parcela.sources.shared import scratch
 
 
@@ -79,19 +80,36 @@ def scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return blobs.select("blob", "content", "pending").mapInArrow(run, LEDGER)
 
 
-def update_ledger(spark: SparkSession, versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, known: bool = True) -> DataFrame:
+def unseen(spark: SparkSession, addresses: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob and pending (keys of rules) of the blobs that the ledger lacks pairs of; None for a ledger that is yet empty."""
+    every = F.array(*[F.lit(r.key) for r in rules])
+    blobs = addresses.select("blob").distinct()
+    if ledger is None:
+        return blobs.withColumn("pending", every)
+    seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    pending = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(seen, "blob", "left").select("blob", pending.alias("pending")).where(F.size("pending") > 0)
+
+
+def update_ledger(spark: SparkSession, versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, known: bool = True, addresses: DataFrame | None = None) -> DataFrame:
     """Scans what the ledger at this path lacks of all versions, appends it there, and returns the ledger.
 
-    known: False for a ledger that doesn't exist yet. A blob held by many paths is reduced to one row in each task before
-    the shuffle, so a blob that a third of all rows hold does not gather in one task.
+    known: False for a ledger that doesn't exist yet. addresses: a written table of the versions' blobs, if there is one.
+    Contents of unseen blobs cross one shuffle, in which each task first reduces a blob that many paths hold to one row,
+    so a blob that a third of all rows hold does not gather in one task. Unseen blobs whose table is small, as the planner
+    judges by its size, meet their contents without a shuffle. Two scans at one time may both add a pair; its findings
+    are equal and count once.
     """
-    every = F.array(*[F.lit(r.key) for r in rules])
-    blobs = versions.select(blob_address(text).alias("blob"), text_or_empty(text).alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
+    contents = versions.select(blob_address(text).alias("blob"), text_or_empty(text).alias("content"))
     if known:
-        seen = spark.read.schema(LEDGER).parquet(ledger).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("pending", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("pending") > 0)
+        addresses = contents.select("blob") if addresses is None else addresses
+        table = written(unseen(spark, addresses, ledger, rules), "unseen")
+        if table.limit(1).count() == 0:
+            return spark.read.schema(LEDGER).parquet(ledger)
+        contents = contents.join(table, "blob")
     else:
-        blobs = blobs.withColumn("pending", every)
+        contents = contents.withColumn("pending", F.array(*[F.lit(r.key) for r in rules]))
+    blobs = contents.groupBy("blob").agg(F.first("content").alias("content"), F.first("pending").alias("pending"))
     scanned(blobs, rules).write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 
@@ -117,8 +135,10 @@ def scan_secrets(versions: DataFrame, text: str = "text", keep: tuple[str, ...]
     starts a new ledger in the shared folder.
     """
     spark = versions.sparkSession
-    table = update_ledger(spark, versions, ledger or scratch(spark, "ledger"), text, rules, known=ledger is not None)
     paths = versions.select(F.struct(*keep).alias("kept"), blob_address(text).alias("blob"))
+    if ledger is not None and text not in keep:
+        paths = written(paths, "paths")
+    table = update_ledger(spark, versions, ledger or scratch(spark, "ledger"), text, rules, ledger is not None, paths)
     joined = paths.join(blob_findings(table, rules), "blob", "left")
     nothing = F.array().cast("array<struct<begin:int,at:int,finish:int,kind:string>>")
     return joined.select("kept.*", "blob", F.coalesce("found", nothing).alias("found"))
