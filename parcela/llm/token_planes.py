@@ -43,6 +43,8 @@ TAIL = struct.Struct("<QI4s")
 END_ID = 1
 #: Distinct words whose ids a worker remembers, and bytes of text that it splits at a time.
 WORDS_KEPT, PART_BYTES = 600_000, 2_000_000
+#: A longer word is encoded whenever it comes, so that the memory for words is bounded in bytes too.
+WORD_CHARS = 64
 #: A word of letters and one of these is two words to a tokenizer that cuts words from signs.
 MARKS = ".,;:!?"
 
@@ -210,9 +212,9 @@ class WordEncoder:
                             missing.append((codes, i, word, mark))
                         else:
                             codes[i] = code + mark
-        self.learn({word for _, _, word, _ in missing})
+        self.learn({word for _, _, word, _ in missing if len(word) <= WORD_CHARS})
         for codes, i, word, mark in missing:
-            codes[i] = recall(word) + mark
+            codes[i] = (recall(word) or self.codes([word])[0]) + mark
         return [b"".join(codes) for codes in rows]
 
 
@@ -286,9 +288,9 @@ def with_starts(contents: DataFrame) -> DataFrame:
 
 
 def read_planes(contents: DataFrame, path: str) -> DataFrame:
-    """For each row of contents(key, file, first, n, start), read from the files: key, start, n_tokens and ids_crc32.
+    """For each row of contents(key, part, file, first, n, start), read from the files: key, start, n_tokens and ids_crc32.
 
-    Rows are dealt by file and read in order, so each block is read and decompressed once.
+    Rows are dealt by the part that their file belongs to and read in order, so each block is read and decompressed once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,12 +310,18 @@ def read_planes(contents: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
     parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are small, what they lead to isn't
-    rows = contents.select("key", "start", "file", "first", "n").repartition(parts, "file").sortWithinPartitions("file", "first")
+    rows = contents.select("key", "start", "file", "first", "n", F.pmod("part", F.lit(parts)).cast("int").alias("to"))
+    rows = rows.repartitionById(parts, "to").sortWithinPartitions("file", "first")
     return rows.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", path: str | None = None, **layout) -> DataFrame:
-    """Tokenises all rows, writes the files, and reads every document back: key, start, n_tokens and ids_crc32."""
+    """Tokenises all rows, writes the files, and reads every document back: key, start, n_tokens and ids_crc32.
+
+    A null text counts as empty, and an empty one has the end id alone. Rows without a key come first; rows that share one
+    lie side by side, and each keeps its own ids. A very long text is one row, encoded by itself. An empty table gives an
+    empty result. Only the two named columns are read, so other columns' names don't matter.
+    """
     spark = docs.sparkSession
     path, parts = path or scratch(spark, "planes"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     contents = write_planes(tokenised(docs, vocabulary, key, text), range_part(docs.select(F.col(key).alias("key")), "key", parts), path, **layout)
