@@ -36,6 +36,8 @@ STRIDE = 256
 ONE = (1,)
 #: Words and pairs of pieces that a worker remembers, and bytes of text encoded at a time.
 WORDS_KEPT, PAIRS_KEPT, PART_BYTES = 600_000, 500_000, 2_000_000
+#: A longer word is not remembered, so that the memory for words is bounded in bytes too.
+WORD_CHARS = 64
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -193,7 +195,8 @@ class Pieces:
         """The ids of the text that this word stands for, remembered."""
         if (code := self.older.get(word)) is None:
             code = self.segment_ids(text)
-        self.words[word] = code
+        if len(word) <= WORD_CHARS:
+            self.words[word] = code
         return code
 
     def encode(self, text: str) -> bytes:
@@ -239,7 +242,8 @@ def encoded(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), te
     whether decoding the ids gives the text again.
 
     A null text counts as empty and has no ids. The text's own space marks (U+2581) come back as spaces, as in the
-    library. Repeated rows each keep their row.
+    library. Repeated rows each keep their row; a very long text is encoded piece by piece; an empty table gives an empty
+    result. Columns that are not kept are not read, and kept ones may have any name but those of the result.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     kept = [f"kept_{i}" for i in range(len(keep))]
