@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.llm import fingerprints, lang_id, license_scan, mixing, neighbours, order_minhash, pieces, secret_scan, token_planes, warc
 from parcela.llm.common import small_batches
 
-#: Where the public tokenizers' vocabularies are.
-TOKENIZERS = os.environ.get("PARCELA_TOKENIZERS", "/opt/tokenizers")
+WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,7 +94,7 @@ SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken, CA
 @query
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as byte planes and read back: where they start, how many, and their checksum."""
-    return token_planes.stored(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json").withColumnRenamed("key", "doc_id")
+    return token_planes.stored(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS)).withColumnRenamed("key", "doc_id")
 
 
 @query
@@ -140,7 +139,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SentencePiece ids, and whether decoding them gives the text again."""
-    return pieces.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 @query
