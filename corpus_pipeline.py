@@ -6,12 +6,13 @@ the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.llm import lang_id, mixing, order_minhash, pieces, secret_scan
 from parcela.llm.common import small_batches, written
-from parcela.llm.queries import TOKENIZERS
+from parcela.llm.queries import PIECES
 
 #: No SQL expresses the stages; tests/llm compares them with brute-force versions.
 ORACLE_SQL = None
@@ -77,7 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The SentencePiece ids of every row."""
     small_batches(spark)
-    return pieces.encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model", keep=("doc_id", "lang", "source", "n_chars"))
+    return pieces.encoded(docs, public_tokenizers.path(PIECES), keep=("doc_id", "lang", "source", "n_chars"))
 
 
 STAGES = [
