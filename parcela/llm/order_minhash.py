@@ -8,10 +8,10 @@ Exact copies are one node. Nodes that agree on a sketch share a bucket. In a buc
 them of about its length, the hub, never with all: copies of one text thus cost one comparison each. Lengths are cut into
 cells twice, so that any two that may be alike share a cell.
 
-Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are settled by a
-prefix filter: of all their pairs across classes, those are aligned that share one of their rarest words, which texts that
-are alike must. An edit changes at most GRAM of a text's runs of GRAM words, so among the GRAM * (1 - SIMILARITY) * n + 1
-rarest runs of a text of n words one at least is also in the other. No pair of nodes that share a bucket is left out.
+Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are cut further:
+each of their nodes is sketched again, by single words among the rarer half of its words, and those that share a bucket and
+a new sketch elect a hub of their own. This goes on with other hash functions until a round finds no link. Words of a
+passage that many texts of a bucket hold are common among them, so alike texts meet on what is theirs alone.
 
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
@@ -38,9 +38,9 @@ from parcela.llm.common import Steps, list_array, sized_parts, text_or_empty
 KMER, MINIMA, SKETCHES = 5, 2, 48
 SIMILARITY = 0.8
 PART_BYTES = 1_500_000
-#: Words in the runs that settle buckets, and bins in which runs are counted to tell the rare ones, as a power of two. The
-#: counts order the runs; which pairs are alike doesn't depend on them.
-GRAM, COUNT_BITS = 1, 18
+#: Sketches of rare words in a further round, the share of a text's words that count as rare, and bins in which words are
+#: counted to tell them, as a power of two.
+WORD_SKETCHES, RARE, COUNT_BITS = 12, 0.5, 18
 #: A key is hot if more rows have it than this, and than this share of all; its rows go to so many tasks.
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 0.001, 64
 BASE = 0x9E3779B97F4A7C15
@@ -327,38 +327,31 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         hot = list(facts["hot"])
 
 
-def rare_runs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of GRAM words of texts, as many as words (before the first there are marks), as 64-bit hashes; a run that
-    comes again counts as another one. Also each run's text, and each text's number of runs."""
+def batch_words(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of texts as 64-bit hashes, sorted within each text, where a word that comes again counts as another one;
+    each word's text, and each text's number of words."""
     sizes = np.array([len(r) for r in rows], np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
     hashes = mixed(np.concatenate([*rows, np.zeros(0, np.uint32)]).astype(np.uint64))
-    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    total = hashes * TURNS[0]
-    for k in range(1, GRAM):
-        before = np.concatenate([np.zeros(k, np.uint64), hashes])[: len(hashes)]
-        total += np.where(place >= k, before, np.uint64(k)) * TURNS[k]
-    runs = mixed(total)
-    order = np.lexsort((runs, of))
-    runs, of = runs[order], of[order]
-    again = np.append(False, (runs[1:] == runs[:-1]) & (of[1:] == of[:-1]))[: len(runs)]
-    at = np.arange(len(runs))
+    hashes = hashes[np.lexsort((hashes, of))]
+    again = np.append(False, (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1]))[: len(hashes)]
+    at = np.arange(len(hashes))
     occurrence = at - np.maximum.accumulate(np.where(again, 0, at)) if len(at) else at
-    return mixed(runs + occurrence.astype(np.uint64) * np.uint64(BASE)), of, sizes
+    return mixed(hashes + occurrence.astype(np.uint64) * np.uint64(BASE)), of, sizes
 
 
-def bins_of(runs: np.ndarray) -> np.ndarray:
-    return (runs >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def bins_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def run_counts(texts: DataFrame) -> np.ndarray:
-    """How many runs of texts(node, words) are in each bin; 2 ** COUNT_BITS rows at most come to the driver."""
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How many words of texts(node, words) are in each bin; 2 ** COUNT_BITS rows at most come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
-            runs, _, _ = rare_runs([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)])
-            held += np.bincount(bins_of(runs), minlength=len(held))
+            tokens, _, _ = batch_words([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)])
+            held += np.bincount(bins_of(tokens), minlength=len(held))
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["bin", "held"])
 
@@ -368,18 +361,26 @@ def run_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def rarest_runs(texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """node and token of the rarest runs of texts(node, words), as many as texts that are alike can't all differ in."""
+def word_sketches(texts: DataFrame, counts: np.ndarray, turn: int) -> DataFrame:
+    """node and sketches (WORD_SKETCHES names, of the smallest rare word under each hash function of this round) of
+    texts(node, words). The rarer half of a text's words, by the counts of their bins, are its rare ones."""
+    odds = functions(WORD_SKETCHES * (turn + 1))[WORD_SKETCHES * turn :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, of, sizes = rare_runs([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)])
-            order = np.lexsort((runs, counts[bins_of(runs)], of))
+            tokens, of, sizes = batch_words([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)])
+            order = np.lexsort((tokens, counts[bins_of(tokens)], of))
             rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = order[rank < np.repeat((sizes * min(1.0, GRAM * (1 - least)) + 1e-9).astype(np.int64) + 1, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[kept])), pa.array(runs[kept].view(np.int64))], ["node", "token"])
+            rare = np.ceil(sizes * RARE).astype(np.int64)
+            tokens = tokens[order[rank < np.repeat(rare, sizes)]]
+            some = rare > 0
+            begins = (np.cumsum(rare) - rare)[some]
+            names = np.empty((len(begins), WORD_SKETCHES), np.uint64)
+            for k, odd in enumerate(odds):
+                names[:, k] = mixed(np.minimum.reduceat(mixed(tokens * odd), begins) + np.uint64(k)) if len(begins) else 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(names.view(np.int64).ravel(), some * WORD_SKETCHES)], ["node", "sketches"])
 
-    return texts.select("node", "words").mapInArrow(run, "node binary, token long")
+    return texts.select("node", "words").mapInArrow(run, "node binary, sketches array<long>")
 
 
 def length_cells(least: float) -> Column:
@@ -392,40 +393,30 @@ def alike_lengths(least: float) -> Column:
     return F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
 
 
-def settled(members: DataFrame, hot: list, labels: DataFrame, tested: DataFrame, texts: DataFrame, least: float, steps: Steps) -> DataFrame:
-    """Further links(node, hub) among members(bucket, node, n) that share a bucket and are in different classes so far.
+def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str) -> DataFrame:
+    """node, n, hub, hub_n and the extra columns (e.g. label, hub_label) of members that share `by` with others of about
+    their length: the hub is the one of each cell with the smallest digest. Rows of a hot cell are salted."""
+    cells = F.explode(length_cells(least)).alias("at")
+    near = members.select(*by, "node", "n", *extra, cells).select(F.xxhash64(*by, "at").alias("cell"), "node", "n", *extra)
+    hubs = near.groupBy("cell").agg(F.min(F.struct("node", "n", *extra)).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    names = [F.col("hub.n").alias("hub_n"), *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in extra]]
+    hubs = steps.write(hubs.select("cell", *names, F.col("hub.node").alias("hub"), "rows"))
+    total = hubs.agg(F.sum("rows")).first()[0] or 0
+    paired = salted_join(near, hubs.drop("rows"), "cell", hot_keys(hubs, "cell", total), "node")
+    return paired.where("node != hub").where(alike_lengths(least))
 
-    Buckets with the same nodes are one. Runs that a single class has are dropped before they meet the buckets, and
-    classes are paired before their nodes are, so the copies of one class never meet each other. Nodes and classes go by
-    64-bit digests here; two nodes with one digest cost an alignment more, two classes with one (a chance of 2^-64 for each
-    two) would not be compared.
-    """
-    named = F.coalesce("label", "node").alias("label")
-    each = steps.write(salted_join(members, labels, "node", [], "bucket", "left").select("bucket", "node", "n", named))
+
+def opened(members: DataFrame, labels: DataFrame, hot: list, steps: Steps) -> DataFrame:
+    """bucket, node, n and label of the members of buckets with nodes of several classes; buckets with the same nodes
+    are one."""
+    each = steps.write(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
     at = steps.n
     marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     open_ = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("nodes"), *marks).where("low != high")
     groups = open_.groupBy("x0", "x1", "nodes").agg(F.min("bucket").alias("bucket")).select("bucket")
-    each = steps.write(salted_join(each, groups, "bucket", hot, "node"))
+    out = steps.write(salted_join(each, groups, "bucket", hot, "node"))
     steps.drop(at)
-    names = steps.write(each.select("node", "n", F.xxhash64("node").alias("id"), F.xxhash64("label").alias("kind")).distinct())
-    held = texts.join(names, "node", "left_semi")
-    tokens = rarest_runs(held, run_counts(held), least).join(names, "node").select("id", "kind", "token")
-    shared = tokens.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low != high").select("token")
-    tokens = steps.write(tokens.join(shared, "token"))
-    rows = each.select("bucket", F.xxhash64("node").alias("id")).join(tokens, "id").select(F.xxhash64("bucket", "token").alias("at"), "id", "kind")
-    crowded = rows.groupBy("at").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low != high").select("at")
-    rows = steps.write(rows.join(crowded, "at"))
-    kinds = steps.write(rows.select("at", "kind").distinct())
-    crossed = kinds.join(kinds.select("at", F.col("kind").alias("other")), "at").where("kind < other")
-    ones = crossed.join(rows, ["at", "kind"])
-    others = rows.select("at", F.col("kind").alias("other"), F.col("id").alias("other_id"))
-    met = ones.join(others, ["at", "other"]).select("id", "other_id").distinct()
-    one = names.select("id", "node", "n")
-    other = names.select(F.col("id").alias("other_id"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    pairs = met.join(one, "id").join(other, "other_id").where(alike_lengths(least))
-    pairs = pairs.select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub"))
-    return steps.write(aligned(steps.write(pairs.join(tested, ["node", "hub"], "left_anti")), texts, least))
+    return out
 
 
 def with_nodes(docs: DataFrame, text: str = "text", node: str = "node") -> DataFrame:
@@ -464,19 +455,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     hot = hot_keys(crowded, "bucket", nodes.count() * n_sketches)
     members = steps.write(salted_join(members, crowded.select("bucket"), "bucket", hot, "node"))
     steps.drop(at)
-    near = members.select("bucket", "node", "n", F.explode(length_cells(least)).alias("at")).select(F.xxhash64("bucket", "at").alias("cell"), "node", "n")
-    hubs = near.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    hubs = steps.write(hubs.select("cell", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "rows"))
-    crowds = hot_keys(hubs, "cell", 2 * members.count())
     wanted = members.select("node").distinct().join(keys, "node")
     texts = steps.write(word_rows(docs, steps.write(wanted), key, text))
-    pairs = salted_join(near, hubs.drop("rows"), "cell", crowds, "node").where("node != hub").where(alike_lengths(least))
-    tested = steps.write(pairs.select("node", "hub").distinct())
+    tested = steps.write(with_hubs(members, ["bucket"], least, steps).select("node", "hub").distinct())
     links = steps.write(aligned(tested, texts, least))
     labels = components(steps.write(condensed(links)), steps)
-    further = settled(members, hot, labels, tested, texts, least, steps)
-    if further.limit(1).count() > 0:
-        links = links.union(further)
+    members = opened(members, labels, hot, steps).drop("label")
+    held, turn = steps.write(texts.join(members.select("node").distinct(), "node", "left_semi")), 0
+    counts = word_counts(held)
+    while True:
+        each = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(word_sketches(held, counts, turn), "node")
+        each = each.select("bucket", "node", "n", "label", F.explode("sketches").alias("sketch"))
+        met = with_hubs(each, ["bucket", "sketch"], least, steps, "label").where("label != hub_label").select("node", "hub").distinct()
+        pairs = steps.write(met.join(tested, ["node", "hub"], "left_anti"))
+        found = steps.write(aligned(pairs, held, least))
+        if found.limit(1).count() == 0:
+            break
+        links, tested, turn = links.union(found), tested.union(pairs), turn + 1
         labels = components(steps.write(condensed(links)), steps)
     ends = links.select("node").union(links.select("hub")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = steps.write(labels.join(ends, "node").join(keys, "node"))
