@@ -25,8 +25,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Steps:
     """Written tables of one operation, in a folder that is deleted when its result has been written elsewhere."""
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path, self.n = spark, scratch(spark, name), 0
+    def __init__(self, spark: SparkSession, name: str, within: str | None = None) -> None:
+        path = scratch(spark, name)
+        self.spark, self.path, self.n = spark, f"{within}/{path.rpartition('/')[2]}" if within else path, 0
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1

@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by inner product: a graph by NN-descent, searched greedily.
 
 Vectors get an extra component that makes all equally long, so that the largest inner product with a vector is the
-nearest of them by angle; the graph is built with it, searches and scores use the vectors as they are. Nodes are distinct
-vectors, numbered in the order of a random projection's signs, and dealt to blocks of consecutive numbers.
+nearest of them; the graph is built by these distances, searches and scores use the vectors as they are. Distances don't
+change if the mean is taken from all vectors and the extra component counts from the greatest length down, which keeps
+small differences where a few vectors are far longer than the others. Nodes are distinct vectors, numbered in the order of
+a random projection's signs, and dealt to blocks of consecutive numbers.
 
 The graph begins with the nearest ones among few nodes that lie together in the order of other projections. A round of
 NN-descent joins, block by block, every node's neighbours and those it is a neighbour of with their vectors, compares
@@ -10,7 +12,8 @@ them with each other, and joins what is nearer than a node's farthest neighbour
 neighbours change. The finished graph is written as one file for each block in the shared folder.
 
 A search starts at a query's own node and goes on from the nearest nodes found so far, as long as one among the BEAM
-nearest has not been looked at. It keeps a bounded number of blocks in memory.
+nearest has not been looked at. The ENTRIES longest vectors, which the graph has far from others, are then compared too,
+and it goes on from those that are near. It keeps a bounded number of blocks in memory.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ ROUNDS, CHANGED = 6, 0.10
 BLOCK = 2048
 #: Nodes that a search keeps, and those it looks at in a step.
 BEAM, STEP = 256, 64
+#: The longest vectors, which every search compares.
+ENTRIES = 256
 #: Blocks that a task keeps in memory.
 KEPT_BLOCKS = 64
 SEED = 20240101
@@ -111,13 +117,33 @@ def best_pairs(node: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -
     return order[rank < k]
 
 
-def chunk_pairs(dims: int, augment: float) -> callable:
+@dataclass(frozen=True)
+class Frame:
+    """What the graph's distances are made from: the greatest length, the mean and the unit of length."""
+
+    longest: float
+    middle: np.ndarray
+    unit: float
+
+    def lifted(self, x: np.ndarray) -> np.ndarray:
+        """The vectors around the mean, with what their extra component lacks of the greatest length, as 32-bit floats."""
+        squares = np.einsum("ij,ij->i", x, x)
+        lack = squares / (self.longest + np.sqrt(np.maximum(self.longest**2 - squares, 0)))
+        return (np.hstack([x - self.middle, lack[:, None]]) / self.unit).astype(np.float32)
+
+
+def nearness(z: np.ndarray) -> np.ndarray:
+    """Half the squared distances of all pairs of lifted vectors, negative; z may have groups before its last two axes."""
+    half = np.einsum("...ij,...ij->...i", z, z) / 2
+    return z @ z.swapaxes(-1, -2) - half[..., :, None] - half[..., None, :]
+
+
+def chunk_pairs(dims: int, frame: Frame) -> callable:
     """Reads nodes (ord, vec) in order, and yields the nearest ones among those that lie together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            x = longer(x, augment)
-            similar = x @ x.T
+            similar = nearness(frame.lifted(x))
             np.fill_diagonal(similar, NEVER)
             at, score = nearest(similar, DEGREE)
             node, other, score = np.repeat(ids, at.shape[1]), ids[at].ravel(), score.ravel()
@@ -138,12 +164,6 @@ def chunk_pairs(dims: int, augment: float) -> callable:
     return run
 
 
-def longer(x: np.ndarray, augment: float) -> np.ndarray:
-    """The vectors with the component that makes all of the length augment, as 32-bit floats."""
-    rest = np.sqrt(np.maximum(augment * augment - np.einsum("ij,ij->i", x, x), 0))
-    return np.hstack([x, rest[:, None]]).astype(np.float32)
-
-
 def merge(new: pa.Table, old: pa.Table) -> pa.Table:
     """A block of the graph with the pairs found for it."""
     block = (new if new.num_rows else old).column("block")[0].as_py()
@@ -214,13 +234,13 @@ GIVEN = pa.schema([("block", pa.int64()), ("nodes", pa.binary()), ("vectors", pa
 GIVEN_SQL = "block long, nodes binary, vectors binary, least binary"
 
 
-def given_vectors(dims: int, augment: float) -> callable:
+def given_vectors(dims: int, frame: Frame) -> callable:
     def run(wanted: pa.Table, block: pa.Table) -> pa.Table:
-        """The vectors asked of a block, as 16-bit floats, with the score that a neighbour of each must beat."""
+        """The vectors asked of a block, lifted, with the score that a neighbour of each must beat."""
         if not block.num_rows or not wanted.num_rows:
             return arrow([], GIVEN)
         at = block.column("block")[0].as_py() * BLOCK
-        x = longer(joined(block, "vectors", np.float64).reshape(-1, dims), augment).astype(np.float16)
+        x = frame.lifted(joined(block, "vectors", np.float64).reshape(-1, dims))
         least = joined(block, "scores", np.float32).reshape(BLOCK, DEGREE)[:, -1]
         rows = []
         for by, nodes in zip(wanted.column("by").to_pylist(), wanted.column("nodes").to_pylist(), strict=True):
@@ -239,7 +259,7 @@ def local_join(dims: int) -> callable:
         nodes = joined(given, "nodes", np.int64)
         order = np.argsort(nodes)
         nodes = nodes[order]
-        x = joined(given, "vectors", np.float16).reshape(-1, dims + 1)[order].astype(np.float32)
+        x = joined(given, "vectors", np.float32).reshape(-1, dims + 1)[order]
         least = joined(given, "least", np.float32)[order]
         lists = joined(around, "around", np.int64).reshape(-1, 2 * DEGREE)
         lists = lists[(lists >= 0).sum(axis=1) > 1]
@@ -247,8 +267,7 @@ def local_join(dims: int) -> callable:
         for first in range(0, len(lists), 128):
             ids = lists[first : first + 128]
             at = np.searchsorted(nodes, np.maximum(ids, nodes[0]))
-            near = x[at]
-            similar = near @ near.transpose(0, 2, 1)
+            similar = nearness(x[at])
             nearer = (similar > least[at][:, :, None]) & (ids >= 0)[:, :, None] & (ids >= 0)[:, None, :] & (ids[:, :, None] != ids[:, None, :])
             k, i, j = np.nonzero(nearer)
             found.append((ids[k, i], ids[k, j], similar[k, i, j]))
@@ -269,23 +288,27 @@ class Index:
     n: int
     dims: int
     path: str
+    longest: list[tuple[int, bytes]]
 
 
-def usable(rows: DataFrame, key: str, vector: str, steps: Steps) -> tuple[DataFrame, int]:
-    """key and vec (binary, 64-bit floats) of the rows that take part, one for each key, and the number of dimensions."""
+def usable(rows: DataFrame, key: str, vector: str, steps: Steps) -> tuple[DataFrame, list[int]]:
+    """key, v, copies and size of the rows that take part, rows with one key and vector counted, and all sizes."""
     rows = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
-    rows = rows.groupBy("key").agg(F.min("v").alias("v"))
-    sizes = sorted((r["count"], r["size"]) for r in rows.groupBy(F.size("v").alias("size")).count().collect())
-    dims = sizes[-1][1] if sizes else 0
+    rows = steps.write(rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("copies")).withColumn("size", F.size("v")))
+    return rows, sorted(r["size"] for r in rows.select("size").distinct().collect())
+
+
+def packed(rows: DataFrame, dims: int) -> DataFrame:
+    """key, copies and vec (binary, 64-bit floats) of the rows of this many dimensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, dims) + 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "vec"])
+            x = np.array(batch.column(2).to_pylist(), np.float64).reshape(-1, dims) + 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in x], pa.binary())], ["key", "copies", "vec"])
 
-    return steps.write(rows.where(F.size("v") == dims).mapInArrow(run, "key long, vec binary")), dims
+    return rows.where(F.col("size") == dims).select("key", "copies", "v").mapInArrow(run, "key long, copies long, vec binary")
 
 
 def numbered(rows: DataFrame, parts: int, steps: Steps) -> DataFrame:
@@ -306,17 +329,27 @@ def build(vectors: DataFrame, dims: int, steps: Steps) -> Index:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = as_matrix(batch.column("vec"), dims)
-            yield pa.RecordBatch.from_arrays([pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64())), pa.array([float(np.einsum("ij,ij->i", x, x).max(initial=0))])], ["total", "longest"])
+            squares = np.einsum("ij,ij->i", x, x)
+            yield pa.RecordBatch.from_arrays([pa.array([x.sum(axis=0).tolist()], pa.list_(pa.float64())), pa.array([float(squares.max(initial=0))]), pa.array([float(squares.sum())])], ["total", "longest", "squares"])
+
+    facts = vectors.select("vec").mapInArrow(sums, "total array<double>, longest double, squares double")
+    facts = facts.agg(F.max("longest").alias("longest"), F.sum("squares").alias("squares"), *[F.sum(F.get("total", F.lit(i))).alias(f"d{i}") for i in range(dims)]).first()
+    middle, most = np.array([facts[f"d{i}"] for i in range(dims)]) / n, float(np.sqrt(facts["longest"]))
+    frame = Frame(most, middle, max(float(np.sqrt(facts["squares"] / n)), most / 1e15))
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = as_matrix(batch.column("vec"), dims)
+            squares = np.einsum("ij,ij->i", x, x)
+            at = pa.array(np.argsort(-squares, kind="stable")[:ENTRIES])
+            yield pa.RecordBatch.from_arrays([batch.column("ord").take(at), batch.column("vec").take(at), pa.array(squares).take(at)], ["ord", "vec", "square"])
 
-    facts = vectors.select("vec").mapInArrow(sums, "total array<double>, longest double")
-    facts = facts.agg(F.max("longest").alias("longest"), *[F.sum(F.get("total", F.lit(i))).alias(f"d{i}") for i in range(dims)]).first()
-    augment, middle = float(np.sqrt(facts["longest"])), np.array([facts[f"d{i}"] for i in range(dims)]) / n
     nodes = steps.write(numbered(placed(vectors, dims, 0, n, middle), parts, steps))
     dealt = lambda rows, *by: (rows.coalesce(1) if n <= 2 * CHUNK else rows.repartitionByRange(min(parts, n // (2 * CHUNK)), *by)).sortWithinPartitions(*by)
-    pairs = dealt(nodes, "ord").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL)
+    pairs = dealt(nodes, "ord").mapInArrow(chunk_pairs(dims, frame), PAIRS_SQL)
     for order in range(1, ORDERS if n > CHUNK else 1):
         sides = dealt(placed(nodes.select("ord", "vec"), dims, order, n, middle), "side", "along")
-        pairs = pairs.union(sides.select("ord", "vec").mapInArrow(chunk_pairs(dims, augment), PAIRS_SQL))
+        pairs = pairs.union(sides.select("ord", "vec").mapInArrow(chunk_pairs(dims, frame), PAIRS_SQL))
     blocks = steps.write(nodes.groupBy(F.floor(F.col("ord") / BLOCK).alias("block")).applyInArrow(block_vectors, "block long, vectors binary, names binary"))
     none = blocks.select("block", F.lit(b"").alias("ids"), F.lit(b"").alias("scores"), F.lit(0).cast("long").alias("changed"))
     graph = steps.write(pairs.groupBy("block").cogroup(none.groupBy("block")).applyInArrow(merge, GRAPH_SQL))
@@ -328,14 +361,15 @@ def build(vectors: DataFrame, dims: int, steps: Steps) -> Index:
             break
         wanted = around.mapInArrow(wanted_vectors, "block long, by long, nodes binary")
         held = blocks.join(graph.select("block", "scores"), "block")
-        given = wanted.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(given_vectors(dims, augment), GIVEN_SQL)
+        given = wanted.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(given_vectors(dims, frame), GIVEN_SQL)
         pairs = given.groupBy("block").cogroup(around.groupBy("block")).applyInArrow(local_join(dims), PAIRS_SQL)
         graph = steps.write(pairs.groupBy("block").cogroup(graph.groupBy("block")).applyInArrow(merge, GRAPH_SQL))
         still = graph.agg(F.sum("changed")).first()[0] >= CHANGED * n * DEGREE
     path = f"{steps.path}/index"
     files = blocks.join(around, "block").select("block", "vectors", "names", "around").mapInArrow(block_files(path), "block long")
     steps.write(files)
-    return Index(nodes, n, dims, path)
+    ends = nodes.select("ord", "vec").mapInArrow(longest, "ord long, vec binary, square double").orderBy(F.col("square").desc(), "ord").limit(ENTRIES).collect()
+    return Index(nodes, n, dims, path, [(r["ord"], bytes(r["vec"])) for r in ends])
 
 
 def block_vectors(rows: pa.Table) -> pa.Table:
@@ -398,19 +432,26 @@ class Blocks:
         return out
 
 
-def greedy(blocks: Blocks, start: int, query: np.ndarray, beam: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def greedy(blocks: Blocks, start: int, query: np.ndarray, beam: int, most: int, entries: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The nearest nodes found from a start, most of them at most, with their inner products; the nearest first, of equally
-    near ones that with the smaller name."""
+    near ones that with the smaller name. entries: the longest nodes and their vectors."""
     ids, scores = np.array([start]), blocks.rows(np.array([start]), 1) @ query
-    looked, seen = np.zeros(1, bool), np.array([start])
-    while not looked.all():
+    looked, seen, late = np.zeros(1, bool), np.array([start]), True
+    while True:
         front = np.flatnonzero(~looked)[:STEP]
-        looked[front] = True
-        new = np.unique(blocks.rows(ids[front], 0))
-        new = np.setdiff1d(new[new >= 0], seen, assume_unique=True)
+        if len(front):
+            looked[front] = True
+            new = np.unique(blocks.rows(ids[front], 0))
+            new = np.setdiff1d(new[new >= 0], seen, assume_unique=True)
+            near = blocks.rows(new, 1) @ query if len(new) else np.zeros(0)
+        elif late:
+            fresh, late = ~np.isin(entries[0], seen), False
+            new, near = entries[0][fresh], entries[1][fresh] @ query
+        else:
+            break
         if len(new):
             seen = np.concatenate([seen, new])
-            ids, scores = np.concatenate([ids, new]), np.concatenate([scores, blocks.rows(new, 1) @ query])
+            ids, scores = np.concatenate([ids, new]), np.concatenate([scores, near])
             looked = np.concatenate([looked, np.zeros(len(new), bool)])
             order = np.lexsort((ids, -scores))[:beam]
             ids, scores, looked = ids[order], scores[order], looked[order]
@@ -420,47 +461,60 @@ def greedy(blocks: Blocks, start: int, query: np.ndarray, beam: int, most: int)
 
 
 def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """query_id, ord and score of the k + 1 nearest nodes found for queries(query_id, ord, vec)."""
+    """query_id, start (its node), ord and score of the k + 1 nearest nodes found for queries(query_id, ord, vec)."""
     dims, path = index.dims, index.path
+    entries = np.array([o for o, _ in index.longest], np.int64), np.frombuffer(b"".join(v for _, v in index.longest), np.float64).reshape(-1, dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(path, dims)
         for batch in batches:
-            columns: tuple[list, list, list] = ([], [], [])
+            columns: tuple[list, list, list, list] = ([], [], [], [])
             for query, start, vec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, scores = greedy(blocks, start, np.frombuffer(vec, np.float64), beam, k + 1)
-                for column, values in zip(columns, (np.full(len(ids), query), ids, scores), strict=True):
+                ids, scores = greedy(blocks, start, np.frombuffer(vec, np.float64), beam, k + 1, entries)
+                for column, values in zip(columns, (np.full(len(ids), query), np.full(len(ids), start), ids, scores), strict=True):
                     column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["query_id", "ord", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["query_id", "start", "ord", "score"])
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = queries.select("query_id", "ord", "vec").repartitionByRange(parts, "ord", "query_id").sortWithinPartitions("ord")
-    return ordered.mapInArrow(run, "query_id long, ord long, score double")
+    return ordered.mapInArrow(run, "query_id long, start long, ord long, score double")
 
 
 def nearest_neighbours(rows: DataFrame, k: int, is_query, key: str = "vec_id", vector: str = "embedding", beam: int = BEAM) -> DataFrame:
-    """query_id, rank (from 1), the key and score of the k nearest rows found for each query row, itself left out.
-
-    Rows take part if their key isn't null and their vector isn't null or zero, holds no null and no infinite value, and
-    has the table's usual number of dimensions; rows that share a key count as one (the smallest vector). Rows with equal
-    vectors are one node of the graph; of each the k + 1 smallest keys can be among the results. Ties go to smaller keys.
-    Fewer rows than k give all of them; a table without usable rows gives an empty result. is_query: a Column over key.
+    """query_id, rank (from 1), the key, score and query_node of the k nearest rows found for each query row, itself left
+    out. is_query: a Column over key.
+
+    Rows take part if their key isn't null and their vector isn't null or zero and holds no null and no infinite value.
+    Rows have an inner product with those of as many dimensions only, so each number of dimensions is searched by itself.
+    Rows with equal vectors are one node of the graph; of each the k + 1 smallest keys can be among the results. Rows that
+    repeat a key with another vector are queries and candidates of their own (query_node tells such queries apart); rows
+    that repeat both are one query, and as many candidates as there are rows. Ties go to smaller keys. Fewer rows than k
+    give all of them; a table without usable rows gives an empty result. Other columns are not read.
     """
     spark = rows.sparkSession
     steps = Steps(spark, "neighbours")
-    vectors, dims = usable(rows, key, vector, steps)
-    result = f"query_id long, rank int, `{key}` long, score double"
-    if not dims:
-        return spark.createDataFrame([], result)
+    vectors, sizes = usable(rows, key, vector, steps)
+    if not sizes:
+        return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double, query_node long")
+    every = [neighbours_of(packed(vectors, dims), dims, k, is_query, beam, Steps(spark, "neighbours", steps.path)) for dims in sizes]
+    ranked = reduce(DataFrame.unionByName, every)
+    return steps.result(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score", "query_node"), "nearest")
+
+
+def neighbours_of(vectors: DataFrame, dims: int, k: int, is_query, beam: int, steps: Steps) -> DataFrame:
+    """nearest_neighbours() of vectors(key, copies, vec), all of one number of dimensions."""
+    vectors = steps.write(vectors)
     nodes = vectors.groupBy("vec").agg(F.min("key").alias("node"))
     index = build(nodes, dims, steps)
-    own = steps.write(vectors.join(index.nodes.select("ord", "vec"), "vec").select("key", "ord", "vec"))
+    own = steps.write(vectors.join(index.nodes.select("ord", "vec"), "vec").select("key", "copies", "ord", "vec"))
     queries = own.where(is_query(F.col("key"))).select(F.col("key").alias("query_id"), "ord", "vec")
     found = search(index, queries, k, beam)
-    copies = own.select("ord", "key", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
+    copies = own.select("ord", "key", "copies", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
     first = lambda rows, *by: rows.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("at") <= k + 1)
-    copies = first(first(copies, "ord", "salt").drop("at"), "ord").select("ord", "key")
-    each = found.join(copies, "ord").where("key != query_id")
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")))
-    return steps.result(ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score"), "nearest")
+    copies = first(first(copies, "ord", "salt").drop("at"), "ord").select("ord", "key", "copies")
+    others = F.col("copies") - F.when((F.col("key") == F.col("query_id")) & (F.col("ord") == F.col("start")), 1).otherwise(0)
+    each = found.join(copies, "ord").withColumn("others", F.least(others, F.lit(k + 1)).cast("int")).where("others > 0")
+    each = each.select("query_id", "start", "score", "key", F.explode(F.sequence(F.lit(1), F.col("others"))).alias("copy"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "start").orderBy(F.col("score").desc(), "key", "copy")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "key", "score", F.col("start").alias("query_node"))
