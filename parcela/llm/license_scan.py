@@ -1,32 +1,36 @@
 """Licence scans by canonical digest. DataFrame functions only.
 
-A text is made canonical: lower case; lines that state a copyright dropped; everything but letters and digits one space;
-equivalent spellings made one. The digest of the whole canonical text is joined to the digests of known licences. Each
-line, as a text of its own, is looked up among the known texts too, for grants of one line inside a longer text.
+A text is made canonical: lower case; lines that state a copyright dropped; everything but letters and digits dropped; of
+words with several spellings one taken; and all words written without a space between them, so that neither line ends nor
+hyphens matter. The digest of the whole canonical text is joined to the digests of known licences: the texts below, and the
+files in the folder `licenses`. Each line is a text of its own too, whose digest is looked up in the same table, for grants
+of one line inside a longer text.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spellings that count as the same, by stem. Fixed values.
+#: Words with several spellings: these stems, with each of the endings, count as the others. Fixed values.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
     ("analyse", "analyze"),
     ("artefact", "artifact"),
     ("authorisation", "authorization"),
-    ("authorised", "authorized"),
+    ("authorise", "authorize"),
     ("calibre", "caliber"),
     ("cancelled", "canceled"),
     ("catalogue", "catalog"),
     ("categorise", "categorize"),
     ("centre", "center"),
-    ("copyright owner", "copyright holder"),
-    ("emphasised", "emphasized"),
+    ("emphasise", "emphasize"),
     ("favour", "favor"),
-    ("fulfil ", "fulfill "),
+    ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"),
     ("https", "http"),
     ("initialise", "initialize"),
@@ -37,22 +41,24 @@ SPELLINGS = (
     ("maximise", "maximize"),
     ("modelled", "modeled"),
     ("modelling", "modeling"),
-    ("noncommercial", "non commercial"),
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
     ("organise", "organize"),
-    ("per cent", "percent"),
+    ("owner", "holder"),
     ("practise", "practice"),
     ("programme", "program"),
     ("realise", "realize"),
     ("recognise", "recognize"),
     ("signalling", "signaling"),
-    ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
+    ("unauthorised", "unauthorized"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
 )
+ENDINGS = ("", "s", "d")
+SAME = {a + end: b + end for a, b in SPELLINGS for end in ENDINGS}
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -100,64 +106,91 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
 )
-#: A line that states a copyright, in lower case. The flags make line ends the same everywhere.
-COPYRIGHT_LINE = r"(?md)^[^\p{L}\n]*(?:copyright\b[^\p{L}\n]*(?:[0-9©]|\(c\))|\(c\)|©|all rights reserved)[^\n]*$"
+#: Known texts of whole licences that are too long to stand here, by licence.
+FILES = Path(__file__).parent / "licenses"
+#: After these words at the beginning of a line, which is in lower case, "copyright" states none. Fixed values.
+LEGAL = "holders?|owners?|notices?|licen[cs]e[sd]?|laws?|statements?|acts?|and|or|interests?|in|on|of|to|is|are|as|for|treaty|protection|doctrines?|rights?|permissions?|claims?|infringement|disclaimers?|status|ownership|under|if|that|which|with|may|shall|also|does|information|material|works?|resulting|patents?|lines?|those|the (?:software|library|program|work)"
+#: A word that holds the place of "copyright" there, and lines that state a copyright. The flags make line ends the same
+#: everywhere.
+HELD = "copyrightheld"
+NO_STATEMENT = rf"(?md)^([^\p{{L}}\n]*)copyright([^\p{{L}}\n]+(?:{LEGAL})\b)"
+COPYRIGHT_LINE = r"(?md)^(?:[^\p{L}\n]*(?:portions )?copyright\b[^\n]*|[^\p{L}\n]*\(c\)[^\p{L}\n]*(?:copyright|[0-9]{4})[^\n]*|[^\p{L}\n]*©[^\n]*|[^\n]*\ball rights reserved\b[^\n]*)$"
 SYMBOLS = r"[^\p{L}\p{N}\n]+"
 
 
+def known() -> list[tuple[str, str]]:
+    """All known texts (licence id, text). A file counts with its title and appendix, and without either."""
+    out = list(KNOWN) + [(i, re.sub(r"(?m)^[0-9]\. ", "", t)) for i, t in KNOWN if i.startswith("BSD")]
+    for file in sorted(FILES.glob("*.txt")):
+        text = file.read_text()
+        body, _, _ = text.partition("END OF TERMS AND CONDITIONS")
+        forms = [text, body, body + "END OF TERMS AND CONDITIONS"] if body != text else [text]
+        out += [(file.stem, f) for f in forms]
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The text's canonical form with its line ends."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    out = F.regexp_replace(out, SYMBOLS, " ")
-    for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(one))
-    return out
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NO_STATEMENT, f"$1{HELD}$2")
+    out = F.replace(F.regexp_replace(out, COPYRIGHT_LINE, ""), F.lit(HELD), F.lit("copyright"))
+    words = F.split(F.replace(F.regexp_replace(out, SYMBOLS, " "), F.lit("\n"), F.lit(" \n ")), " ")
+    same = F.create_map(*[F.lit(x) for pair in sorted(SAME.items()) for x in pair])
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(sorted(SAME)), same[w]).otherwise(w)), "")
+
+
+def unbroken(form: Column) -> Column:
+    return F.replace(form, F.lit("\n"), F.lit(""))
 
 
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(canonical_lines(text), "[ \n]+", " "))
+    return unbroken(canonical_lines(text))
 
 
-def known_texts(spark: SparkSession) -> DataFrame:
-    """license, canonical and digest of the known texts, a table of a fixed number of rows."""
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in KNOWN]))
-    found = spark.range(1).select(rows.alias("r")).select("r.license", canonical(F.col("r.text")).alias("canonical"))
-    return found.groupBy("canonical").agg(F.min("license").alias("license")).select("license", "canonical", F.sha2("canonical", 256).alias("digest"))
+def known_digests(spark: SparkSession) -> dict[str, str]:
+    """The licence of each known digest, from a table of a fixed number of rows."""
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("text")) for i, t in known()]))
+    found = spark.range(1).select(rows.alias("r")).select("r.license", F.sha2(canonical(F.col("r.text")), 256).alias("digest"))
+    return {r["digest"]: r["license"] for r in found.groupBy("digest").agg(F.min("license").alias("license")).collect()}
 
 
 def licensed(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of every row, with canonical_sha256, license (of the whole text, or null), and line_licenses.
 
     line_licenses lists the licences of lines that are known texts, sorted, each once, joined by commas. A null text
-    counts as empty; an empty canonical text matches nothing. Repeated rows each keep their row.
+    counts as empty; an empty canonical text matches nothing, as no known text is empty. Repeated rows each keep their
+    row; very long texts and lines are treated like others; an empty table gives an empty result. Columns that are not
+    kept are not read; a kept column may have any name but those of the result.
     """
-    known = known_texts(docs.sparkSession)
-    lines = {r["canonical"]: r["license"] for r in known.collect()}
-    by_line = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair])
+    spark = docs.sparkSession
+    digests = known_digests(spark)
+    of = F.create_map(*[F.lit(x) for pair in sorted(digests.items()) for x in pair])
     rows = docs.select(F.struct(*keep).alias("kept"), canonical_lines(F.col(text)).alias("form"))
-    found = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: x.isin(sorted(lines)))
-    rows = rows.select("kept", F.sha2(F.trim(F.regexp_replace("form", "[ \n]+", " ")), 256).alias("canonical_sha256"), F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: by_line[x]))), ",").alias("line_licenses"))
-    whole = F.broadcast(known.select(F.col("digest").alias("canonical_sha256"), "license"))
-    return rows.join(whole, "canonical_sha256", "left").select("kept.*", "canonical_sha256", "license", "line_licenses")
+    found = F.filter(F.transform(F.split("form", "\n"), lambda x: F.sha2(x, 256)), lambda x: x.isin(sorted(digests)))
+    line_licenses = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: of[x]))), ",")
+    rows = rows.select("kept", F.sha2(unbroken(F.col("form")), 256).alias("canonical_sha256"), line_licenses.alias("line_licenses"))
+    table = F.explode(F.array(*[F.struct(F.lit(d).alias("canonical_sha256"), F.lit(i).alias("license")) for d, i in sorted(digests.items())]))
+    whole = spark.range(1).select(table.alias("r")).select("r.*")  # as many rows as known texts
+    return rows.join(F.broadcast(whole), "canonical_sha256", "left").select("kept.*", "canonical_sha256", "license", "line_licenses")
 
 
 def canonical_sql(text: str) -> str:
     """canonical_lines() as SQL."""
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE.replace('(?md)', '(?m)')}', '', 'g')"
-    out = f"regexp_replace({out}, '{SYMBOLS}', ' ', 'g')"
-    for other, one in SPELLINGS:
-        out = f"replace({out}, '{other}', '{one}')"
-    return out
+    plain = lambda pattern: pattern.replace("(?md)", "(?m)")
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{plain(NO_STATEMENT)}', '\\1{HELD}\\2', 'g')"
+    out = f"replace(regexp_replace({out}, '{plain(COPYRIGHT_LINE)}', '', 'g'), '{HELD}', 'copyright')"
+    out = f"string_split(replace(regexp_replace({out}, '{SYMBOLS}', ' ', 'g'), chr(10), ' ' || chr(10) || ' '), ' ')"
+    same = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in sorted(SAME.items()))
+    return f"array_to_string(list_transform({out}, lambda w: CASE w {same} ELSE w END), '')"
 
 
 def licensed_sql() -> str:
-    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known())
     return f"""
-    WITH k AS (SELECT canonical, min(license) AS license FROM (SELECT license, trim(regexp_replace({canonical_sql("text")}, '[ \\n]+', ' ', 'g'), ' ') AS canonical FROM (VALUES {values}) AS v(license, text)) GROUP BY canonical),
+    WITH k AS (SELECT canonical, min(license) AS license FROM (SELECT license, replace({canonical_sql("text")}, chr(10), '') AS canonical FROM (VALUES {values}) AS v(license, text)) GROUP BY canonical),
     d AS (SELECT doc_id, row_number() OVER () AS n, {canonical_sql("text")} AS form FROM documents),
     l AS (SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
-        FROM (SELECT n, trim(unnest(string_split(form, chr(10))), ' ') AS line FROM d) JOIN k ON line = canonical GROUP BY n),
-    w AS (SELECT *, trim(regexp_replace(form, '[ \\n]+', ' ', 'g'), ' ') AS whole FROM d)
+        FROM (SELECT n, unnest(string_split(form, chr(10))) AS line FROM d) JOIN k ON line = canonical GROUP BY n),
+    w AS (SELECT *, replace(form, chr(10), '') AS whole FROM d)
     SELECT doc_id, sha256(whole) AS canonical_sha256, k.license AS license, coalesce(line_licenses, '') AS line_licenses
     FROM w LEFT JOIN k ON whole = k.canonical LEFT JOIN l USING (n)
     """
