@@ -3,8 +3,9 @@
 A text is first given a language family, then a language within it. Both steps are duels: one linear support vector
 machine for each pair of families, and for each pair of languages of one family; the class that wins most duels is taken.
 Features are the frequencies of hashed character n-grams of the whole text. The machines are fitted on the driver, on a
-bounded sample of labelled rows (PER_LANGUAGE rows a language, of texts up to SAMPLE_CHARS code points, those whose ids
-hash lowest); their weights, whose size depends on the number of languages alone, go to the workers.
+bounded sample of labelled rows: of each of the MOST_LANGUAGES most frequent languages PER_LANGUAGE rows, those of texts up
+to SAMPLE_CHARS code points first, then the shortest others, of which as many code points are taken; among equals those
+whose ids hash lowest. Their weights, whose size depends on the number of languages alone, go to the workers.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcela.llm.common import sized_parts
 
-#: The sample to learn from: rows for each language at most, and the longest text in it.
-PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+#: The sample to learn from: rows for each language at most, code points of each, and languages (the most frequent ones).
+PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 20_000, 100
 BUCKETS = 1 << 13
 NGRAMS = 3
 PART_BYTES = 2_000_000
@@ -172,30 +173,37 @@ def held_out(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Model:
-    """A model from the rows that are not held out, have a language and a text up to that length."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key).alias("place"), held_out(key).alias("held"))
-    rows = rows.where(~F.col("held") & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars)).drop("held")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS, most: int = MOST_LANGUAGES) -> Model:
+    """A model from the rows that are not held out and have a language and a text.
+
+    The driver gets a count for each of the languages, a rank's bounds for each, and then the sample. Rows are ranked
+    within their language, each task keeping the first ones only, so neither frequent languages nor rows that share an id
+    crowd others out.
+    """
+    size = F.length(text)
+    place = F.struct(F.when(size > chars, size).otherwise(0).alias("over"), F.xxhash64(key).alias("hash"))
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(key)).select(F.col(lang).alias("lang"), place.alias("place"), F.left(text, F.lit(chars)).alias("text"))
+    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()]
+    if not names:
         return Model.fit([], [])
-    steps = 1 << 20
-    share = F.lit(None).cast("long")
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(steps, 1 + 2 * per_language * steps // n))).otherwise(share)
-    taken = rows.where(F.pmod("place", F.lit(steps)) < share).orderBy(F.pmod("place", F.lit(steps)), "place", "lang", "text").limit(3 * per_language * len(counts)).collect()
-    kept: dict[str, list[str]] = {}
-    for r in taken:
-        if len(own := kept.setdefault(r["lang"], [])) < per_language:
-            own.append(r["text"])
-    pairs = sorted((name, t) for name, own in kept.items() for t in own)
+    first = lambda some, *by: some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= per_language)
+    ranked = first(rows.where(F.col("lang").isin(names)).select("lang", "place"), "place")
+    within = F.lit(False)
+    for r in ranked.groupBy("lang").agg(F.max("place").alias("last")).collect():
+        last = F.struct(F.lit(r["last"]["over"]).alias("over"), F.lit(r["last"]["hash"]).cast("long").alias("hash"))
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("place") <= last))
+    taken = first(rows.where(within), "place", "text").select("lang", "text").collect()
+    pairs = sorted((r["lang"], r["text"]) for r in taken)
     return Model.fit([t for _, t in pairs], [name for name, _ in pairs])
 
 
 def identified(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns of every row, with lang_pred and score, from whole texts.
 
-    A null text, and a text with no letter, is und with score 0; so is every text if nothing could be learned.
+    A null text, and a text with no letter, is und with score 0; so is every text if nothing could be learned. Classes
+    that win as many duels rank by their mean certainty, then by name. Repeated rows each keep their row, and equal texts
+    have equal results; an empty table gives an empty result. Columns that are not kept are not read; a kept column may
+    have any name but those of the result.
     """
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     kept = [f"kept_{i}" for i in range(len(keep))]

@@ -71,3 +71,14 @@ def test_sample_is_bounded(documents):
         L.Model.fit = fit
     assert [kept[0][1].count(x) for x in ("en", "de")] == [20, 20]
     assert docs.where(L.held_out("doc_id")).where(F.col("text").isin(kept[0][0])).count() == 0
+
+
+def test_languages_with_long_texts_only_and_ids_that_repeat(spark, documents):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    rows = [(None, " ".join(word("abcdef") for _ in range(30)), "xx", "s") for _ in range(20)]
+    rows += [(i, " ".join(word("uvwxyz") for _ in range(300)), "yy", "s") for i in range(20)]
+    model = L.learned(documents(rows), per_language=5, chars=1000)
+    assert model.languages == ("xx", "yy")
+    assert model.predict([" ".join(word("uvwxyz") for _ in range(30)), " ".join(word("abcdef") for _ in range(30))])[0] == ["yy", "xx"]
+    assert L.learned(documents(rows), most=1).languages == ("xx",)

@@ -1,15 +1,16 @@
 import itertools
 from array import array
 
+import public_tokenizers
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parcela.llm import pieces as p
-from parcela.llm.queries import TOKENIZERS
+from parcela.llm.queries import PIECES
 
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+MODEL = public_tokenizers.path(PIECES)
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parcela.llm import secret_scan as s
+from parcela.llm.common import written
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
@@ -71,3 +72,16 @@ def test_redaction(documents):
 @pytest.mark.parametrize("word", ["password", "api_key"])
 def test_any_case(word):
     assert re.fullmatch(s.any_case(word), word.upper()) and not re.fullmatch(s.any_case("secret"), "ſecret")
+
+
+def test_a_second_scan_fetches_no_contents(spark, documents, tmp_path, monkeypatch):
+    """With nothing unseen the ledger is asked by addresses, and no content is scanned, so none is read or shuffled."""
+    ledger = f"file://{tmp_path}/ledger"
+    docs = documents([(i, t, "en", "a") for i, t in enumerate(TEXTS)])
+    s.update_ledger(spark, docs, ledger, known=False)
+    tables = []
+    monkeypatch.setattr(s, "written", lambda df, name: tables.append((name, df.columns)) or written(df, name))
+    monkeypatch.setattr(s, "scanned", None)
+    found = s.scan_secrets(docs, ledger=ledger)
+    assert tables == [("paths", ["kept", "blob"]), ("unseen", ["blob", "pending"])]
+    assert {r.doc_id: len(r.found) for r in found.collect()} == {i: len(brute(t)) for i, t in enumerate(TEXTS)}

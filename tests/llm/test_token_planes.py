@@ -3,15 +3,16 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from parcela.llm import token_planes as t
-from parcela.llm.queries import TOKENIZERS
+from parcela.llm.queries import WORDS
 
-VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
+VOCABULARY = public_tokenizers.path(WORDS)
 ODD = ["", " ", "ΑΣ. ΟΔΟΣ, İstanbul İ. don't CAN'T it's. x\x1cy <|endoftext|> a<|endoftext|>b 12,5 ﬁn. ǅ ẞ. 日本語。 한국어. ́abc naïve's", "a b c​d᠎e\u0085f", "...,,,!!! a. b, c; d: e! f?"]
 
 
