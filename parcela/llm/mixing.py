@@ -8,7 +8,8 @@ over the run, gives the words it has delivered at each time; the inverse of that
 position, from 0 (the start) to 1, and the mix is range-sorted by position.
 
 Where a document lies on its source's line is a prefix sum. No task sees a whole source for it: the line is cut into
-buckets of the digest, bucket sums are summed before the rows are, and each row adds its place within its bucket.
+buckets of the digest and these into spans of SPAN buckets; sums of spans are summed first, then those of buckets within a
+span, and each row adds its place within its bucket.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHARE, PASSES = 1.5, 2
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (0.5, 1.5), (1.0, 0.5)))
 #: Rows of the table for each bucket of the digest.
 BUCKET_ROWS = 500
+#: Buckets in a span.
+SPAN = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,8 +89,11 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     sums = small.groupBy("own", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     sources = source_targets(sums.groupBy("own").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).select("source", "source_size"), weights, share, passes)
     sources = sources.withColumn("own", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
-    line = Window.partitionBy("own").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("words").over(line), F.lit(0))).select("own", "bucket", "start").join(sources, "own")
+    sums = sums.withColumn("span", F.floor(F.col("bucket") / SPAN))
+    before = lambda column, by, order: F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.groupBy("own", "span").agg(F.sum("words").alias("words")).select("own", "span", before("words", ["own"], "span").alias("base"))
+    starts = sums.withColumn("start", before("words", ["own", "span"], "bucket")).join(spans, ["own", "span"])
+    starts = starts.select("own", "bucket", (F.col("start") + F.col("base")).alias("start")).join(sources, "own")
     within = Window.partitionBy("own", "bucket").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = small.join(starts, ["own", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     due = F.floor(F.col("target")).cast("long")
