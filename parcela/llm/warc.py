@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcela.llm.common import written
 from parcela.sources.shared import scratch
 
 REVISIT_BYTES = 1000
@@ -81,15 +82,20 @@ def parsed(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def with_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, payload, size, digest and refers_to (null for responses) of every row.
 
-    The payloads cross one shuffle, to meet the largest page_id of their digest; the digests' rows are reduced in each
-    task first, and a digest that many rows share can be split like any skewed join.
+    Pages below REVISIT_BYTES meet nothing. Of the others a table of ids and digests is written, in which a digest meets
+    the largest page_id that has it; payloads then meet the revisits among them by page_id and digest, so that a payload
+    that many pages share doesn't gather in one task.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    joined = rows.join(first, "digest", "left")
-    refers = F.when((F.col("size") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "size", "digest", refers.alias("refers_to"))
+    small, large = rows.where(F.col("size") < REVISIT_BYTES), rows.where(F.col("size") >= REVISIT_BYTES)
+    facts = written(large.select("page_id", "digest"), "facts")
+    first = facts.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    revisits = facts.join(first, "digest").where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = revisits.select(F.col("page_id").alias("own"), F.col("digest").alias("same"), F.col("first").alias("refers_to")).distinct()
+    met = large.join(revisits, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("same")), "left")
+    every = met.select(*rows.columns, "refers_to").unionByName(small.withColumn("refers_to", F.lit(None).cast("long")))
+    return every.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
 def write_archives(rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -179,6 +185,11 @@ def read_records(index: DataFrame, path: str, with_payload: bool = True) -> Data
 
 
 def archived(pages: DataFrame, path: str | None = None, with_payload: bool = False, **names: str) -> DataFrame:
-    """Writes all pages as archives and reads every record back. A null html is an empty payload; an empty table gives none."""
+    """Writes all pages as archives and reads every record back.
+
+    A null html is an empty payload; a page without URL gets a urn; null page_ids rank below all others, and rows that share
+    the largest page_id of a payload are each a response. Repeated rows each keep their record; an empty table gives an
+    empty result. Only the three named columns are read, so other columns' names don't matter.
+    """
     path = path or scratch(pages.sparkSession, "warc")
     return read_records(write_archives(with_types(pages, **names), path), path, with_payload)
