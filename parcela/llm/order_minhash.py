@@ -8,10 +8,11 @@ Exact copies are one node. Nodes that agree on a sketch share a bucket. In a buc
 them of about its length, the hub, never with all: copies of one text thus cost one comparison each. Lengths are cut into
 cells twice, so that any two that may be alike share a cell.
 
-Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are cut further:
-each of their nodes is sketched again, by single words among the rarer half of its words, and those that share a bucket and
-a new sketch elect a hub of their own. This goes on with other hash functions until a round finds no link. Words of a
-passage that many texts of a bucket hold are common among them, so alike texts meet on what is theirs alone.
+Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are open: all
+nodes of open buckets are sketched again, by MINIMA words each among the rarer half of a text's words, and those that share
+a new sketch elect a hub of their own, whatever bucket they came from, so a round makes a fixed number of rows for a node.
+This goes on with other hash functions until a round finds no link. Words of a passage that many texts hold are common
+among them, so alike texts meet on what is theirs alone.
 
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
@@ -362,25 +363,31 @@ def word_counts(texts: DataFrame) -> np.ndarray:
 
 
 def word_sketches(texts: DataFrame, counts: np.ndarray, turn: int) -> DataFrame:
-    """node and sketches (WORD_SKETCHES names, of the smallest rare word under each hash function of this round) of
-    texts(node, words). The rarer half of a text's words, by the counts of their bins, are its rare ones."""
+    """node, n and sketches (WORD_SKETCHES names, of the MINIMA smallest rare words under each hash function of this round)
+    of texts(node, n, words). The rarer half of a text's words, by the counts of their bins, are its rare ones."""
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
     odds = functions(WORD_SKETCHES * (turn + 1))[WORD_SKETCHES * turn :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, of, sizes = batch_words([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)])
+            tokens, of, sizes = batch_words([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)])
             order = np.lexsort((tokens, counts[bins_of(tokens)], of))
             rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rare = np.ceil(sizes * RARE).astype(np.int64)
             tokens = tokens[order[rank < np.repeat(rare, sizes)]]
             some = rare > 0
             begins = (np.cumsum(rare) - rare)[some]
-            names = np.empty((len(begins), WORD_SKETCHES), np.uint64)
-            for k, odd in enumerate(odds):
-                names[:, k] = mixed(np.minimum.reduceat(mixed(tokens * odd), begins) + np.uint64(k)) if len(begins) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(names.view(np.int64).ravel(), some * WORD_SKETCHES)], ["node", "sketches"])
+            names = np.zeros((len(begins), WORD_SKETCHES), np.uint64)
+            for k, odd in enumerate(odds if len(begins) else ()):
+                values, name = mixed(tokens * odd), np.uint64(k)
+                for _ in range(MINIMA):
+                    least = np.minimum.reduceat(values, begins)
+                    name = mixed(name + least)
+                    values[values == np.repeat(least, rare[some])] = top
+                names[:, k] = name
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(names.view(np.int64).ravel(), some * WORD_SKETCHES)], ["node", "n", "sketches"])
 
-    return texts.select("node", "words").mapInArrow(run, "node binary, sketches array<long>")
+    return texts.select("node", "n", "words").mapInArrow(run, "node binary, n int, sketches array<long>")
 
 
 def length_cells(least: float) -> Column:
@@ -407,14 +414,11 @@ def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *ex
 
 
 def opened(members: DataFrame, labels: DataFrame, hot: list, steps: Steps) -> DataFrame:
-    """bucket, node, n and label of the members of buckets with nodes of several classes; buckets with the same nodes
-    are one."""
+    """node and n of the members of buckets with nodes of several classes."""
     each = steps.write(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
     at = steps.n
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    open_ = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("nodes"), *marks).where("low != high")
-    groups = open_.groupBy("x0", "x1", "nodes").agg(F.min("bucket").alias("bucket")).select("bucket")
-    out = steps.write(salted_join(each, groups, "bucket", hot, "node"))
+    several = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    out = steps.write(salted_join(each, several.select("bucket"), "bucket", hot, "node").select("node", "n").distinct())
     steps.drop(at)
     return out
 
@@ -460,13 +464,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     tested = steps.write(with_hubs(members, ["bucket"], least, steps).select("node", "hub").distinct())
     links = steps.write(aligned(tested, texts, least))
     labels = components(steps.write(condensed(links)), steps)
-    members = opened(members, labels, hot, steps).drop("label")
-    held, turn = steps.write(texts.join(members.select("node").distinct(), "node", "left_semi")), 0
+    left = opened(members, labels, hot, steps)
+    held, turn = steps.write(texts.join(left, "node").select("node", "n", "words")), 0
     counts = word_counts(held)
     while True:
-        each = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(word_sketches(held, counts, turn), "node")
-        each = each.select("bucket", "node", "n", "label", F.explode("sketches").alias("sketch"))
-        met = with_hubs(each, ["bucket", "sketch"], least, steps, "label").where("label != hub_label").select("node", "hub").distinct()
+        each = word_sketches(held, counts, turn).join(labels, "node", "left")
+        each = each.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("sketches").alias("sketch"))
+        met = with_hubs(each, ["sketch"], least, steps, "label").where("label != hub_label").select("node", "hub").distinct()
         pairs = steps.write(met.join(tested, ["node", "hub"], "left_anti"))
         found = steps.write(aligned(pairs, held, least))
         if found.limit(1).count() == 0:
