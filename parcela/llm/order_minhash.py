@@ -400,12 +400,12 @@ def alike_lengths(least: float) -> Column:
     return F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
 
 
-def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str) -> DataFrame:
+def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str, turn: int = 0) -> DataFrame:
     """node, n, hub, hub_n and the extra columns (e.g. label, hub_label) of members that share `by` with others of about
-    their length: the hub is the one of each cell with the smallest digest. Rows of a hot cell are salted."""
+    their length: the hub is the one of each cell whose digest comes first in this turn's order. Rows of a hot cell are salted."""
     cells = F.explode(length_cells(least)).alias("at")
     near = members.select(*by, "node", "n", *extra, cells).select(F.xxhash64(*by, "at").alias("cell"), "node", "n", *extra)
-    hubs = near.groupBy("cell").agg(F.min(F.struct("node", "n", *extra)).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    hubs = near.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", *extra)).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     names = [F.col("hub.n").alias("hub_n"), *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in extra]]
     hubs = steps.write(hubs.select("cell", *names, F.col("hub.node").alias("hub"), "rows"))
     total = hubs.agg(F.sum("rows")).first()[0] or 0
@@ -470,7 +470,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     while True:
         each = word_sketches(held, counts, turn).join(labels, "node", "left")
         each = each.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("sketches").alias("sketch"))
-        met = with_hubs(each, ["sketch"], least, steps, "label").where("label != hub_label").select("node", "hub").distinct()
+        met = with_hubs(each, ["sketch"], least, steps, "label", turn=turn + 1).where("label != hub_label").select("node", "hub").distinct()
         pairs = steps.write(met.join(tested, ["node", "hub"], "left_anti"))
         found = steps.write(aligned(pairs, held, least))
         if found.limit(1).count() == 0:
