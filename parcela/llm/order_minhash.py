@@ -11,8 +11,9 @@ cells twice, so that any two that may be alike share a cell.
 Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are open: all
 nodes of open buckets are sketched again, by MINIMA words each among the rarer half of a text's words, and those that share
 a new sketch elect a hub of their own, whatever bucket they came from, so a round makes a fixed number of rows for a node.
-This goes on with other hash functions until a round finds no link. Words of a passage that many texts hold are common
-among them, so alike texts meet on what is theirs alone.
+This goes on with other hash functions until a round finds no link; a node that shared no new sketch with a text of another
+class and about its length takes no part in further rounds. Words of a passage that many texts hold are common among them,
+so alike texts meet on what is theirs alone.
 
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
@@ -403,14 +404,31 @@ def alike_lengths(least: float) -> Column:
 def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str, turn: int = 0) -> DataFrame:
     """node, n, hub, hub_n and the extra columns (e.g. label, hub_label) of members that share `by` with others of about
     their length: the hub is the one of each cell whose digest comes first in this turn's order. Rows of a hot cell are salted."""
+    paired = grouped(members, by, least, steps, *extra, turn=turn)
+    return paired.where("node != hub").where(alike_lengths(least))
+
+
+def grouped(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str, turn: int = 0, alone: str = "node") -> DataFrame:
+    """As with_hubs, also with the hubs' own rows, and whatever the lengths; for cells with several values of `alone`."""
     cells = F.explode(length_cells(least)).alias("at")
     near = members.select(*by, "node", "n", *extra, cells).select(F.xxhash64(*by, "at").alias("cell"), "node", "n", *extra)
-    hubs = near.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", *extra)).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", *extra)).alias("hub")
+    hubs = near.groupBy("cell").agg(first, F.count(F.lit(1)).alias("rows"), F.min(alone).alias("low"), F.max(alone).alias("high")).where("low != high")
     names = [F.col("hub.n").alias("hub_n"), *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in extra]]
     hubs = steps.write(hubs.select("cell", *names, F.col("hub.node").alias("hub"), "rows"))
     total = hubs.agg(F.sum("rows")).first()[0] or 0
-    paired = salted_join(near, hubs.drop("rows"), "cell", hot_keys(hubs, "cell", total), "node")
-    return paired.where("node != hub").where(alike_lengths(least))
+    return salted_join(near, hubs.drop("rows"), "cell", hot_keys(hubs, "cell", total), "node")
+
+
+def merged(labels: DataFrame, found: DataFrame, steps: Steps) -> DataFrame:
+    """The labels (smallest nodes of the components) once the links found(node, hub) are added: only classes are joined."""
+    new = found.select("node").union(found.select(F.col("hub"))).distinct().join(labels, "node", "left_anti")
+    labels = steps.write(labels.union(new.select("node", F.col("node").alias("label"))))
+    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("other"))
+    edges = found.join(labels, "node").join(hubs, "hub").where("label != other").select(F.col("label").alias("node"), F.col("other").alias("hub"))
+    above = components(steps.write(condensed(edges)), steps).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = salted_join(labels, above, "label", hot_keys_of(labels, "label"), "node", "left")
+    return steps.write(moved.select("node", F.coalesce("top", "label").alias("label")))
 
 
 def opened(members: DataFrame, labels: DataFrame, hot: list, steps: Steps) -> DataFrame:
@@ -466,17 +484,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     labels = components(steps.write(condensed(links)), steps)
     left = opened(members, labels, hot, steps)
     held, turn = steps.write(texts.join(left, "node").select("node", "n", "words")), 0
-    counts = word_counts(held)
+    counts, taking = word_counts(held), held
+    ends = [F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high")]  # a hub may have been a node before
     while True:
-        each = word_sketches(held, counts, turn).join(labels, "node", "left")
+        each = word_sketches(taking, counts, turn).join(labels, "node", "left")
         each = each.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("sketches").alias("sketch"))
-        met = with_hubs(each, ["sketch"], least, steps, "label", turn=turn + 1).where("label != hub_label").select("node", "hub").distinct()
-        pairs = steps.write(met.join(tested, ["node", "hub"], "left_anti"))
+        met = steps.write(grouped(each, ["sketch"], least, steps, "label", turn=turn + 1, alone="label"))
+        at = steps.n
+        still = steps.write(met.select("node").distinct())
+        met = met.where("label != hub_label").where(alike_lengths(least)).select("node", "hub").distinct()
+        pairs = steps.write(met.select("*", *ends).join(tested.select(*ends), ["low", "high"], "left_anti").select("node", "hub"))
         found = steps.write(aligned(pairs, held, least))
         if found.limit(1).count() == 0:
             break
         links, tested, turn = links.union(found), tested.union(pairs), turn + 1
-        labels = components(steps.write(condensed(links)), steps)
+        labels = merged(labels, found, steps)
+        steps.drop(at)
+        taking = held.join(still, "node", "left_semi")
     ends = links.select("node").union(links.select("hub")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = steps.write(labels.join(ends, "node").join(keys, "node"))
     named = labels.groupBy("label").agg(F.min("key").alias("class_id"))
