@@ -8,12 +8,12 @@ Exact copies are one node. Nodes that agree on a sketch share a bucket. In a buc
 them of about its length, the hub, never with all: copies of one text thus cost one comparison each. Lengths are cut into
 cells twice, so that any two that may be alike share a cell.
 
-Buckets whose nodes are then in several classes (a passage that unlike texts share fills such buckets) are open: all
-nodes of open buckets are sketched again, by MINIMA words each among the rarer half of a text's words, and those that share
-a new sketch elect a hub of their own, whatever bucket they came from, so a round makes a fixed number of rows for a node.
-This goes on with other hash functions until a round finds no link; a node that shared no new sketch with a text of another
-class and about its length takes no part in further rounds. Words of a passage that many texts hold are common among them,
-so alike texts meet on what is theirs alone.
+Two nodes of different classes that share a bucket and a cell, neither being its hub, are untested (a passage that unlike
+texts share makes many such nodes). All untested nodes are sketched again, by MINIMA words each among the rarer half of a
+text's words, and those that share a new sketch elect a hub of their own, whatever bucket they came from, so a round makes
+a fixed number of rows for a node. This goes on with other hash functions until a round finds no link; a node takes part in
+the next round if it shared a new sketch and a cell with a node of another class, neither being its hub. Words of a passage
+that many texts hold are common among them, so alike texts meet on what is theirs alone.
 
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
@@ -42,7 +42,7 @@ SIMILARITY = 0.8
 PART_BYTES = 1_500_000
 #: Sketches of rare words in a further round, the share of a text's words that count as rare, and bins in which words are
 #: counted to tell them, as a power of two.
-WORD_SKETCHES, RARE, COUNT_BITS = 12, 0.5, 18
+WORD_SKETCHES, RARE, COUNT_BITS = 36, 0.5, 18
 #: A key is hot if more rows have it than this, and than this share of all; its rows go to so many tasks.
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 0.001, 64
 BASE = 0x9E3779B97F4A7C15
@@ -431,13 +431,28 @@ def merged(labels: DataFrame, found: DataFrame, steps: Steps) -> DataFrame:
     return steps.write(moved.select("node", F.coalesce("top", "label").alias("label")))
 
 
-def opened(members: DataFrame, labels: DataFrame, hot: list, steps: Steps) -> DataFrame:
-    """node and n of the members of buckets with nodes of several classes."""
+def untested(met: DataFrame, steps: Steps) -> DataFrame:
+    """node and n of the texts that share a cell of met, a written table of grouped(.., "label"), with one of another class
+    that they were not compared with. All but the hub were compared with the hub alone, so two others have to differ."""
+    others = met.where("node != hub")
+    facts = others.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
+    several = steps.write(facts.where("low != high").select("cell", "rows"))
+    total = several.agg(F.sum("rows")).first()[0] or 0
+    return salted_join(others, several.select("cell"), "cell", hot_keys(several, "cell", total), "node").select("node", "n").distinct()
+
+
+def opened(members: DataFrame, labels: DataFrame, hot: list, least: float, steps: Steps) -> DataFrame:
+    """node and n of the members of open buckets: the cells are those of the first comparison, with its hubs."""
     each = steps.write(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
-    at = steps.n
+    first = steps.n
     several = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    out = steps.write(salted_join(each, several.select("bucket"), "bucket", hot, "node").select("node", "n").distinct())
-    steps.drop(at)
+    each = steps.write(salted_join(each, several.select("bucket"), "bucket", hot, "node"))
+    steps.drop(first)
+    met = steps.write(grouped(each, ["bucket"], least, steps, "label", alone="label"))
+    last = steps.n
+    out = steps.write(untested(met, steps))
+    for n in range(first + 1, last + 1):
+        steps.drop(n)
     return out
 
 
@@ -482,16 +497,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     tested = steps.write(with_hubs(members, ["bucket"], least, steps).select("node", "hub").distinct())
     links = steps.write(aligned(tested, texts, least))
     labels = components(steps.write(condensed(links)), steps)
-    left = opened(members, labels, hot, steps)
+    left = opened(members, labels, hot, least, steps)
     held, turn = steps.write(texts.join(left, "node").select("node", "n", "words")), 0
     counts, taking = word_counts(held), held
     ends = [F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high")]  # a hub may have been a node before
     while True:
-        each = word_sketches(taking, counts, turn).join(labels, "node", "left")
+        each = steps.write(word_sketches(taking, counts, turn)).join(labels, "node", "left")
+        at = steps.n
         each = each.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("sketches").alias("sketch"))
         met = steps.write(grouped(each, ["sketch"], least, steps, "label", turn=turn + 1, alone="label"))
-        at = steps.n
-        still = steps.write(met.select("node").distinct())
+        again = steps.n
+        still = steps.write(untested(met, steps).select("node"))
         met = met.where("label != hub_label").where(alike_lengths(least)).select("node", "hub").distinct()
         pairs = steps.write(met.select("*", *ends).join(tested.select(*ends), ["low", "high"], "left_anti").select("node", "hub"))
         found = steps.write(aligned(pairs, held, least))
@@ -500,6 +516,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         links, tested, turn = links.union(found), tested.union(pairs), turn + 1
         labels = merged(labels, found, steps)
         steps.drop(at)
+        steps.drop(again)
         taking = held.join(still, "node", "left_semi")
     ends = links.select("node").union(links.select("hub")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = steps.write(labels.join(ends, "node").join(keys, "node"))
