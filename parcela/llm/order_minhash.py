@@ -10,10 +10,11 @@ cells twice, so that any two that may be alike share a cell.
 
 Two nodes of different classes that share a bucket and a cell, neither being its hub, are untested (a passage that unlike
 texts share makes many such nodes). All untested nodes are sketched again, by MINIMA words each among the rarer half of a
-text's words, and those that share a new sketch elect a hub of their own, whatever bucket they came from, so a round makes
-a fixed number of rows for a node. This goes on with other hash functions until a round finds no link; a node takes part in
-the next round if it shared a new sketch and a cell with a node of another class, neither being its hub. Words of a passage
-that many texts hold are common among them, so alike texts meet on what is theirs alone.
+text's words. Those that share a new sketch elect a hub of their own, whatever bucket they came from; cells of PAIRED nodes
+at most compare all their pairs of different classes instead. New sketches travel packed, many to a row, and only pairs to
+compare come out as rows. This goes on with other hash functions until a round finds no link; a node takes part in the
+next round if it shared a new sketch and a larger cell with a node of another class, neither being its hub. Words of a
+passage that many texts hold are common among them, so alike texts meet on what is theirs alone.
 
 The links' connected components are the classes. A pair is a link if its alignment over words, by Levenshtein's distance,
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
@@ -43,6 +44,10 @@ PART_BYTES = 1_500_000
 #: Sketches of rare words in a further round, the share of a text's words that count as rare, and bins in which words are
 #: counted to tell them, as a power of two.
 WORD_SKETCHES, RARE, COUNT_BITS = 36, 0.5, 18
+#: Cells of new sketches with at most so many nodes compare all pairs; new sketches that are grouped in one part.
+PAIRED, PART_NAMES = 8, 100_000
+#: A new sketch of a node, as it travels: its name, the node's class (hashed), words and digest.
+NAMED = np.dtype([("name", "<u8"), ("label", "<i8"), ("n", "<i4"), ("node", "V16")])
 #: A key is hot if more rows have it than this, and than this share of all; its rows go to so many tasks.
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 0.001, 64
 BASE = 0x9E3779B97F4A7C15
@@ -295,7 +300,7 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def condensed(links: DataFrame) -> DataFrame:
     """Links that join the same nodes, with one for each node and one for each pair of hubs that share a node: a node's
-    hubs, no more than the sketches of all rounds, are joined to the smallest of them."""
+    hubs, no more than PAIRED times the sketches of all rounds, are joined to the smallest of them."""
     each = links.groupBy("node").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs"))
     hubs = each.select(F.explode("hubs").alias("node"), F.col("low").alias("hub")).where("node != hub").distinct()
     return each.select("node", F.col("low").alias("hub")).union(hubs)
@@ -401,6 +406,70 @@ def alike_lengths(least: float) -> Column:
     return F.least("n", "hub_n") >= F.greatest("n", "hub_n") * F.lit(least) - F.lit(1e-6)
 
 
+def to_compare(held: np.ndarray, least: float, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of NAMED rows, each name whole: pairs of nodes to compare (rows of two), and the nodes that stay untested.
+
+    Nodes of one name and cell of lengths are compared if their classes differ and their lengths may be alike: all with
+    each other where they are PAIRED at most, else with the hub, the first in this turn's order.
+    """
+    digests, codes = np.unique(np.ascontiguousarray(held["node"]).view([("a", ">u8"), ("b", ">u8")]), return_inverse=True)
+    first = mixed(digests["b"].astype(np.uint64) + np.uint64(turn * BASE % (1 << 64)))[codes]
+    n, label = held["n"].astype(float), held["label"]
+    pairs, left = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    for grid in (0, 1):
+        cell = np.floor((np.log(n) / -np.log(least) + grid) / 2)
+        order = np.lexsort((first, cell, held["name"]))
+        name, at = held["name"][order], cell[order]
+        starts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (at[1:] != at[:-1]))[: len(order)])
+        sizes = np.diff(np.append(starts, len(order)))
+        begin, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+        place = np.arange(len(order))
+        met = [np.stack([begin, place], axis=1)[(size > PAIRED) & (place > begin)]]
+        for k in range(1, PAIRED):
+            low = place[(size <= PAIRED) & (place + k < begin + size)]
+            met.append(np.stack([low, low + k], axis=1))
+        one, other = order[np.concatenate(met)].T
+        alike = (label[one] != label[other]) & (np.minimum(n[one], n[other]) >= np.maximum(n[one], n[other]) * least - 1e-6)
+        pairs.append(np.sort(np.stack([codes[one], codes[other]], axis=1)[alike], axis=1))
+        large = starts[sizes > PAIRED]
+        if len(large):
+            members = place[(size > PAIRED) & (place > begin)]
+            cuts = np.flatnonzero(np.append(True, begin[members][1:] != begin[members][:-1]))
+            theirs = label[order[members]]
+            mixed_up = np.minimum.reduceat(theirs, cuts) != np.maximum.reduceat(theirs, cuts)
+            left.append(codes[order[members[np.repeat(mixed_up, np.diff(np.append(cuts, len(members))))]]])
+    return digests[np.unique(np.concatenate(pairs), axis=0)], digests[np.unique(np.concatenate(left))]
+
+
+def met_again(named: DataFrame, least: float, turn: int) -> DataFrame:
+    """node and hub of the pairs that share a new sketch and are to be compared, and the untested nodes (hub null), of a
+    written table(node, n, label, sketches). A pair or node may come once from each part of the sketches."""
+    parts = max(1, named.count() * WORD_SKETCHES // PART_NAMES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            names = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            held = np.empty(len(names), NAMED)
+            held["name"], held["label"] = names, batch.column(2).to_numpy()[of]
+            held["n"], held["node"] = batch.column(1).to_numpy()[of], np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")[of]
+            part = (names % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(k, held[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["part", "held"])
+
+    def settle(rows: pa.Table) -> pa.Table:
+        pairs, left = to_compare(np.frombuffer(b"".join(rows.column("held").to_pylist()), NAMED), least, turn)
+        digest = lambda x: [v.tobytes() for v in x]
+        return pa.table({"node": pa.array(digest(pairs[:, 0]) + digest(left), pa.binary()), "hub": pa.array(digest(pairs[:, 1]) + [None] * len(left), pa.binary())})
+
+    dealt = named.select("node", "n", F.xxhash64("label").alias("label"), "sketches").mapInArrow(deal, "part long, held binary")
+    return dealt.groupBy("part").applyInArrow(settle, "node binary, hub binary")
+
+
 def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str, turn: int = 0) -> DataFrame:
     """node, n, hub, hub_n and the extra columns (e.g. label, hub_label) of members that share `by` with others of about
     their length: the hub is the one of each cell whose digest comes first in this turn's order. Rows of a hot cell are salted."""
@@ -502,13 +571,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     counts, taking = word_counts(held), held
     ends = [F.least("node", "hub").alias("low"), F.greatest("node", "hub").alias("high")]  # a hub may have been a node before
     while True:
-        each = steps.write(word_sketches(taking, counts, turn)).join(labels, "node", "left")
+        each = word_sketches(taking, counts, turn).join(labels, "node", "left")
+        each = steps.write(each.select("node", "n", F.coalesce("label", "node").alias("label"), "sketches"))
         at = steps.n
-        each = each.select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("sketches").alias("sketch"))
-        met = steps.write(grouped(each, ["sketch"], least, steps, "label", turn=turn + 1, alone="label"))
+        met = steps.write(met_again(each, least, turn + 1))
         again = steps.n
-        still = steps.write(untested(met, steps).select("node"))
-        met = met.where("label != hub_label").where(alike_lengths(least)).select("node", "hub").distinct()
+        still = steps.write(met.where("hub is null").select("node").distinct())
+        met = met.where("hub is not null").distinct()
         pairs = steps.write(met.select("*", *ends).join(tested.select(*ends), ["low", "high"], "left_anti").select("node", "hub"))
         found = steps.write(aligned(pairs, held, least))
         if found.limit(1).count() == 0:

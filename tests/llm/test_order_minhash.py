@@ -144,3 +144,43 @@ def test_odd_rows(documents, odd_documents):
     got = sorted(((r.key, r.class_id) for r in o.near_duplicates(odd_documents).collect()), key=repr)
     assert got == sorted([(1, 1), (2, 1), (None, None), (3, 3), (4, 4), (5, 4), (6, 6), (6, 6), (7, 7), (8, 8), (9, 9)], key=repr)
     assert o.near_duplicates(documents([])).collect() == []
+
+
+def test_new_sketches_meet(spark):
+    """Small cells compare all pairs of different classes, large ones theirs with one hub; the rest stays untested. The
+    sketches make no row each."""
+    digest = lambda i: hashlib.blake2b(str(i).encode(), digest_size=16).digest()
+    small, large = range(5), range(100, 100 + 3 * o.PAIRED)
+    rows = [(digest(i), 50, digest(i % 4), [7, 1000 + i]) for i in small] + [(digest(i), 50, digest(i % 2), [9, 5000 + i]) for i in large]
+    rows += [(digest(900), 20, digest(900), [7]), (digest(901), 50, digest(901), [])]
+    named = spark.createDataFrame(rows, "node binary, n int, label binary, sketches array<long>").repartition(3)
+    label = {r[0]: r[2] for r in rows}
+    met = o.met_again(named, o.SIMILARITY, 1).collect()
+    pairs = [(bytes(r.node), bytes(r.hub)) for r in met if r.hub]
+    assert {frozenset(p) for p in pairs if p[0] in {digest(i) for i in small}} == {frozenset((digest(i), digest(j))) for i in small for j in small if i % 4 != j % 4}
+    others = [set(p) for p in pairs if p[0] in {digest(i) for i in large}]
+    (hub,) = set.intersection(*others)
+    assert len(others) == 1.5 * o.PAIRED and all(label[a] != label[b] for a, b in pairs)
+    assert {bytes(r.node) for r in met if not r.hub} == {digest(i) for i in large} - {hub}
+    assert len(met) < sum(len(r[3]) for r in rows)
+
+
+def test_packed_sketches_match_brute_force():
+    rng = np.random.default_rng(3)
+    n = 3000
+    held = np.empty(n, o.NAMED)
+    held["name"], held["label"], held["n"] = rng.integers(0, 150, n), rng.integers(0, 5, n), rng.integers(20, 60, n)
+    held["node"] = np.frombuffer(b"".join(hashlib.blake2b(bytes([k % 250, k // 250]), digest_size=16).digest() for k in range(n)), "V16")
+    cells = {}
+    for x in held:
+        for grid in (0, 1):
+            cells.setdefault((x["name"], grid, int(np.floor((np.log(float(x["n"])) / -np.log(0.8) + grid) / 2))), []).append(x)
+    pairs, left = o.to_compare(held, 0.8, 2)
+    got = {frozenset((a.tobytes(), b.tobytes())) for a, b in pairs}
+    alike = lambda a, b: a["label"] != b["label"] and min(a["n"], b["n"]) >= 0.8 * max(a["n"], b["n"]) - 1e-6
+    apart = lambda xs: {frozenset((a["node"].tobytes(), b["node"].tobytes())) for a in xs for b in xs if alike(a, b)}
+    assert set().union(*[apart(xs) for xs in cells.values() if len(xs) <= o.PAIRED]) <= got <= set().union(*map(apart, cells.values()))
+    stays = {v.tobytes() for v in left}
+    for xs in (xs for xs in cells.values() if len(xs) > o.PAIRED):
+        inside = [x for x in xs if x["node"].tobytes() in stays]
+        assert len({x["label"] for x in xs}) < 3 or len(inside) >= len(xs) - 1
