@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from parcela.llm import neighbours as m
@@ -91,3 +93,61 @@ def test_recall_beside_a_few_very_long_vectors(spark):
     rows = list(enumerate(x))
     want, got = brute(rows, 20, 20), found(spark, rows, 20, 20)
     assert sum(len(set(want[q]) & set(got[q])) for q in want) / (20 * len(want)) >= 0.95
+
+
+def small_index(path, n=2500, dims=8):
+    """The files of two blocks, and the nearest among those that lie together in two orders."""
+    store = m.Store(f"file://{path}", n, dims, np.float32)
+    x = np.random.default_rng(6).standard_normal((n, dims)).astype(np.float32)
+    for block in range(2):
+        here = slice(block * m.BLOCK, block * m.BLOCK + store.size(block))
+        m.put(store.path, f"nodes/{block}", np.arange(n)[here] * 3, x[here])
+    frame = m.Frame(float(np.linalg.norm(x.astype(float), axis=1).max()), x.mean(axis=0, dtype=float), 1.0)
+    orders = [np.arange(n), np.random.default_rng(8).permutation(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.tobytes() for v in x[ids]])], ["ord", "vec"]) for ids in orders]
+    pairs = pa.Table.from_batches([found for b in batches for found in m.chunk_pairs(dims, np.float32, frame)(iter([b]))])
+    return store, x, frame, pairs
+
+
+def test_only_fresh_neighbours_are_compared(tmp_path):
+    """A pair that lay around a node before is not compared there again."""
+    store, x, frame, pairs = small_index(tmp_path)
+    block = lambda t, b: t.filter(pc.equal(t["block"], b))
+    heads = lambda: iter([pa.RecordBatch.from_arrays([pa.array([0, 1])], ["block"])])
+    assert sum(m.merge(store, 0)(block(pairs, b))["changed"][0].as_py() for b in (0, 1)) == 2500 * m.DEGREE
+    back = pa.Table.from_batches(m.reversed_lists(store, 0)(heads()))
+    found = pa.concat_tables([m.local_join(store, frame, 0)(block(back, b)) for b in (0, 1)])
+    assert len(m.joined(found, "nodes", np.int32)) > 2500
+    changed = sum(m.merge(store, 1)(block(found, b))["changed"][0].as_py() for b in (0, 1))
+    before, after = (np.concatenate([store.of_block(f"ids/{k}", b) for b in (0, 1)]) for k in (0, 1))
+    assert changed == sum(len(set(b) - set(a)) for a, b in zip(before, after, strict=True)) > 0
+    nothing = pa.Table.from_pylist([{"block": b, "nodes": b"", "others": b"", "scores": b""} for b in (0, 1)], m.PAIRS)
+    assert [m.merge(store, 2)(block(nothing, b))["changed"][0].as_py() for b in (0, 1)] == [0, 0]
+    back = pa.Table.from_batches(m.reversed_lists(store, 2)(heads()))
+    again = [m.local_join(store, frame, 2)(block(back, b)) for b in (0, 1)]
+    assert all(len(m.joined(t, "nodes", np.int32)) == 0 and t.num_rows == 1 for t in again)
+
+
+def test_rows_of_the_index_held_or_not(tmp_path, monkeypatch):
+    store, x, _, _ = small_index(tmp_path)
+    for ids in (np.array([2400, 3, 2047, 2048, 3]), np.arange(2499, 0, -1), np.zeros(0, np.int64)):
+        for most in (0, m.HELD_BYTES):
+            monkeypatch.setattr(m, "HELD_BYTES", most)
+            m.HELD.clear()
+            assert np.array_equal(store.rows("vectors", ids), x[ids])
+            assert np.array_equal(store.rows("names", ids)[:, 0], ids * 3)
+    m.HELD.clear()
+
+
+def test_best_pairs_with_repeated_ones():
+    rng = np.random.default_rng(7)
+    node, other = rng.integers(0, 20, 3000), rng.integers(0, 30, 3000)
+    score = rng.integers(-9, 9, 3000).astype(np.float32)
+    best = {}
+    for a, b, s in zip(node, other, score, strict=True):
+        best[a, b] = max(best.get((a, b), -99), s)
+    kept = m.best_pairs(node, other, score, 5)
+    for a in range(20):
+        own = [i for i in kept if node[i] == a]
+        assert len({other[i] for i in own}) == len(own) == 5
+        assert [score[i] for i in own] == sorted((s for (x, _), s in best.items() if x == a), reverse=True)[:5]
