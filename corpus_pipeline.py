@@ -17,6 +17,8 @@ from parcela.llm.queries import PIECES
 #: No SQL expresses the stages; tests/llm compares them with brute-force versions.
 ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids of dropped rows that are sent to all tasks at most; with more of them, whole rows are shuffled instead.
+SENT_IDS = 4_000_000
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each class of near duplicates: that with the smallest doc_id (null ids last), then text digest.
 
     Ids that a single row has tell their row; rows that share an id, or have none, are told apart by their texts' digests.
+    Where each id has a single row, the ids of dropped rows go to all tasks, and no text is shuffled.
     """
     small_batches(spark)
     classes = order_minhash.near_duplicates(docs, keep=("key", "node", "label"))
@@ -39,6 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = written(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again")), "repeated")
     same, repeated = F.col("doc_id").eqNullSafe(F.col("key")), F.col("doc_id").eqNullSafe(F.col("again"))
     if again.limit(1).count() == 0:
+        dropped = written(classes.select("key").join(kept.select("key"), "key", "left_anti"), "dropped")
+        if dropped.count() <= SENT_IDS:
+            return docs.join(F.broadcast(dropped), F.col("doc_id") == F.col("key"), "left_anti")
         return docs.join(kept, same, "left_semi")
     many = order_minhash.with_nodes(docs.join(again, repeated, "left_semi"), node="node")
     many = many.join(kept, same & (F.col("node") == F.col("kept_node")), "left_semi")
@@ -48,9 +54,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the texts by a mark; documents without secrets stay as they are."""
+    """Replaces every secret in the texts by a mark; documents without secrets stay as they are.
+
+    No text comes twice after near-dedup, so texts are scanned where they lie; one that did would be scanned twice."""
     small_batches(spark)
-    found = secret_scan.scan_secrets(docs, keep=COLUMNS)
+    found = secret_scan.scan_secrets(docs, keep=COLUMNS, repeated=False)
     some = F.size("found") > 0
     found = found.withColumn("clean", F.when(some, secret_scan.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text")))
     size = F.when(some, F.length("clean").cast("long")).otherwise(F.col("n_chars"))

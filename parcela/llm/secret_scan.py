@@ -91,14 +91,15 @@ def unseen(spark: SparkSession, addresses: DataFrame, ledger: str | None, rules:
     return blobs.join(seen, "blob", "left").select("blob", pending.alias("pending")).where(F.size("pending") > 0)
 
 
-def update_ledger(spark: SparkSession, versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, known: bool = True, addresses: DataFrame | None = None) -> DataFrame:
+def update_ledger(spark: SparkSession, versions: DataFrame, ledger: str, text: str = "text", rules: tuple[Rule, ...] = RULES, known: bool = True, addresses: DataFrame | None = None, repeated: bool = True) -> DataFrame:
     """Scans what the ledger at this path lacks of all versions, appends it there, and returns the ledger.
 
     known: False for a ledger that doesn't exist yet. addresses: a written table of the versions' blobs, if there is one.
     Contents of unseen blobs cross one shuffle, in which each task first reduces a blob that many paths hold to one row,
     so a blob that a third of all rows hold does not gather in one task. Unseen blobs whose table is small, as the planner
     judges by its size, meet their contents without a shuffle. Two scans at one time may both add a pair; its findings
-    are equal and count once.
+    are equal and count once. repeated: False if few contents come twice: they are scanned where they lie, without that
+    shuffle, and those that do come twice add their pairs twice.
     """
     contents = versions.select(blob_address(text).alias("blob"), text_or_empty(text).alias("content"))
     if known:
@@ -109,8 +110,9 @@ def update_ledger(spark: SparkSession, versions: DataFrame, ledger: str, text: s
         contents = contents.join(table, "blob")
     else:
         contents = contents.withColumn("pending", F.array(*[F.lit(r.key) for r in rules]))
-    blobs = contents.groupBy("blob").agg(F.first("content").alias("content"), F.first("pending").alias("pending"))
-    scanned(blobs, rules).write.mode("append").parquet(ledger)
+    if repeated:
+        contents = contents.groupBy("blob").agg(F.first("content").alias("content"), F.first("pending").alias("pending"))
+    scanned(contents, rules).write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
@@ -127,18 +129,18 @@ def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["finish"].cast("string"))), ",")
 
 
-def scan_secrets(versions: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_secrets(versions: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ledger: str | None = None, rules: tuple[Rule, ...] = RULES, repeated: bool = True) -> DataFrame:
     """The kept columns of every version, with blob (its address) and found (its sorted findings, empty if none).
 
     Null texts count as empty and have no findings; repeated rows each keep their row; an empty table gives an empty
     result. Column names of the input clash with nothing, since only those named are read. Without a ledger path the scan
-    starts a new ledger in the shared folder.
+    starts a new ledger in the shared folder. repeated: as in update_ledger().
     """
     spark = versions.sparkSession
     paths = versions.select(F.struct(*keep).alias("kept"), blob_address(text).alias("blob"))
     if ledger is not None and text not in keep:
         paths = written(paths, "paths")
-    table = update_ledger(spark, versions, ledger or scratch(spark, "ledger"), text, rules, ledger is not None, paths)
+    table = update_ledger(spark, versions, ledger or scratch(spark, "ledger"), text, rules, ledger is not None, paths, repeated)
     joined = paths.join(blob_findings(table, rules), "blob", "left")
     nothing = F.array().cast("array<struct<begin:int,at:int,finish:int,kind:string>>")
     return joined.select("kept.*", "blob", F.coalesce("found", nothing).alias("found"))

@@ -74,6 +74,34 @@ def test_rows_without_ids_and_with_shared_ids(spark, documents):
     assert got == sorted([(None, one), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (5, texts[5]), (3, texts[6])], key=repr)
 
 
+def shuffles(df):
+    return "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_leaves_texts_in_place(spark, documents, monkeypatch):
+    """Only ids of dropped rows are sent, unless they are too many; the rows are the same."""
+    texts = [" ".join(f"t{i // 3}w{k}" for k in range(30 + i % 3)) for i in range(30)]
+    docs = documents([(i, t, "en", "a") for i, t in enumerate(texts)], extra=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = c.drop_near_duplicates(spark, docs, "")
+        assert not shuffles(out) and sorted(r.doc_id for r in out.collect()) == list(range(0, 30, 3))
+        monkeypatch.setattr(c, "SENT_IDS", 3)
+        out = c.drop_near_duplicates(spark, docs, "")
+        assert shuffles(out) and sorted(r.doc_id for r in out.collect()) == list(range(0, 30, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_texts_that_come_twice_are_redacted(spark, documents):
+    """Near-dedup leaves none, but the stage is right for them too."""
+    texts = ["a token=abcdefgh b", "a token=abcdefgh b", None, "plain", "a token=abcdefgh b"]
+    docs = documents([(i, t, "en", "a") for i, t in enumerate(texts)], extra=False)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in c.redact_secrets(spark, docs, "").select("doc_id", F.coalesce("text", F.lit("-")).alias("text"), "n_chars").collect() if r.text != "-")
+    assert got == [(i, "a [SECRET] b" if t != "plain" else t, 12 if t != "plain" else len(t)) for i, t in enumerate(texts) if t]
+
+
 def test_run_is_registered(spark):
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is c.run
     out = c.run(spark, "/root/testdata/sf0.001")
