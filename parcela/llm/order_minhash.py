@@ -20,20 +20,23 @@ The links' connected components are the classes. A pair is a link if its alignme
 leaves a similarity of at least SIMILARITY of the longer text. The alignment is a band of the matrix as wide as the
 distance allowed, in bit vectors.
 
-A key that more than a thousandth of the rows have (a thousand keys at most) is hot: rows are dealt by it and a salt, to
-as many copies of what they join.
+A key that more than a thousandth of the rows have (a thousand keys at most) is hot: its rows stay where they are and what
+they join is sent to them, or, where that holds texts, rows are dealt by the key and a salt, to as many copies of the texts.
+
+What is small costs no shuffles: FEW_LINKS links at most are joined to classes by the driver, and untested texts whose words
+have FEW_BYTES at most are sent to the tasks that compare them. More than that is joined by key, with the same result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcela.llm.common import Steps, list_array, sized_parts, text_or_empty
@@ -50,6 +53,9 @@ PAIRED, PART_NAMES = 8, 100_000
 NAMED = np.dtype([("name", "<u8"), ("label", "<i8"), ("n", "<i4"), ("node", "V16")])
 #: A key is hot if more rows have it than this, and than this share of all; its rows go to so many tasks.
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 0.001, 64
+#: Links that the driver joins to classes (some 10 MB there), bytes of untested words that each executor holds, and pairs
+#: that a task compares then.
+FEW_LINKS, FEW_BYTES, FEW_PAIRS = 50_000, 32 << 20, 1000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Multipliers of the words of a k-mer.
@@ -283,8 +289,16 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, hot: list, by: str,
     return rows.select("*", salt).join(other.select("*", salts), [key, "salt"], how).drop("salt")
 
 
-def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs(node, hub), in a written table, whose similarity is at least so much."""
+def short_join(rows: DataFrame, other: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """rows joined to other(key, ..), which has one short row for each key; a hot key's rows are not dealt at all."""
+    if not hot:
+        return rows.join(other, key, how)
+    crowd = F.col(key).isin(hot)
+    return rows.where(~crowd).join(other.where(~crowd), key, how).union(rows.where(crowd).join(F.broadcast(other.where(crowd)), key, how))
+
+
+def aligned(pairs: DataFrame, texts: DataFrame, least: float, few: bool = False) -> DataFrame:
+    """The pairs(node, hub), in a written table, whose similarity is at least so much. few: the texts are sent to all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,9 +306,14 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             alike = pa.array([similarity(a, b, least) > 0 for a, b in zip(one, other, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(alike), batch.column("hub").filter(alike)], ["node", "hub"])
 
-    ones = salted_join(pairs, texts.withColumnRenamed("words", "one"), "node", hot_keys_of(pairs, "node"), "hub")
+    ones = texts.select("node", F.col("words").alias("one"))
     others = texts.select(F.col("node").alias("hub"), F.col("words").alias("other"))
-    joined = salted_join(ones, others, "hub", hot_keys_of(pairs, "hub"), "node")
+    if few:
+        dealt = pairs.repartition(pairs.count() // FEW_PAIRS + 1)
+        joined = dealt.join(F.broadcast(ones), "node").join(F.broadcast(others), "hub")
+    else:
+        ones = salted_join(pairs, ones, "node", hot_keys_of(pairs, "node"), "hub")
+        joined = salted_join(ones, others, "hub", hot_keys_of(pairs, "hub"), "node")
     return joined.select("node", "hub", "one", "other").mapInArrow(run, "node binary, hub binary")
 
 
@@ -306,12 +325,41 @@ def condensed(links: DataFrame) -> DataFrame:
     return each.select("node", F.col("low").alias("hub")).union(hubs)
 
 
+def rooted(pairs: Iterable[tuple[bytes, bytes]]) -> dict[bytes, bytes]:
+    """The smallest node of the connected component of every node of the pairs."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (above := root.setdefault(x, x)) != x:
+            root[x] = x = root[above]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in root}
+
+
+def local_table(spark: SparkSession, **columns: Iterable[bytes]) -> DataFrame:
+    return spark.createDataFrame(pa.table({k: pa.array(list(v), pa.binary()) for k, v in columns.items()}))
+
+
+def columns_of(df: DataFrame) -> list[list[bytes]]:
+    """The columns of a small table, on the driver."""
+    return [c.to_pylist() for c in df.toArrow().columns]
+
+
 def components(links: DataFrame, steps: Steps) -> DataFrame:
-    """node and label of every node of links(node, hub): the smallest node of its connected component.
+    """node and label of every node of links(node, hub), a written table: the smallest node of its connected component.
 
-    Every round takes the smallest label among a node and its neighbours, then that label's own label, so the rounds
-    needed grow with the logarithm of a component's width. Each round is a written table.
+    The driver joins FEW_LINKS at most. With more of them, every round takes the smallest label among a node and its
+    neighbours, then that label's own label, so the rounds needed grow with the logarithm of a component's width. Each
+    round is a written table.
     """
+    if links.count() <= FEW_LINKS:
+        root = rooted(zip(*columns_of(links.select("node", "hub")), strict=True))
+        return steps.write(local_table(links.sparkSession, node=root.keys(), label=root.values()))
+    links = steps.write(condensed(links))
     both = steps.write(links.select("node", F.col("hub").alias("other")).union(links.select(F.col("hub"), F.col("node"))))
     n, crowds = both.count(), hot_keys_of(both, "other")
     labels, hot = steps.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))), None
@@ -319,9 +367,9 @@ def components(links: DataFrame, steps: Steps) -> DataFrame:
         if hot is None:
             hot = hot_keys_of(labels, "label")
         theirs = labels.select(F.col("node").alias("other"), F.col("label").alias("theirs"))
-        near = salted_join(both, theirs, "other", crowds, "node").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        near = short_join(both, theirs, "other", crowds).groupBy("node").agg(F.min("theirs").alias("theirs"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = salted_join(labels, jump, "label", hot, "node", "left")
+        jumped = short_join(labels, jump, "label", hot, "left")
         lower = F.least("label", "theirs", F.coalesce("further", "label"))
         new = steps.write(jumped.join(near, "node").select("node", F.col("label").alias("was"), lower.alias("label")))
         at = steps.n
@@ -470,58 +518,68 @@ def met_again(named: DataFrame, least: float, turn: int) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(settle, "node binary, hub binary")
 
 
-def with_hubs(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str, turn: int = 0) -> DataFrame:
-    """node, n, hub, hub_n and the extra columns (e.g. label, hub_label) of members that share `by` with others of about
-    their length: the hub is the one of each cell whose digest comes first in this turn's order. Rows of a hot cell are salted."""
-    paired = grouped(members, by, least, steps, *extra, turn=turn)
-    return paired.where("node != hub").where(alike_lengths(least))
+def in_cells(members: DataFrame, least: float, *extra: str) -> DataFrame:
+    """cell (of a bucket and a length), node, n and the extra columns of members(bucket, node, n, ..), once for each cell."""
+    near = members.select("bucket", "node", "n", *extra, F.explode(length_cells(least)).alias("at"))
+    return near.select(F.xxhash64("bucket", "at").alias("cell"), "node", "n", *extra)
+
 
+def hub_order() -> Column:
+    return F.xxhash64("node", F.lit(0)).alias("order")
 
-def grouped(members: DataFrame, by: list[str], least: float, steps: Steps, *extra: str, turn: int = 0, alone: str = "node") -> DataFrame:
-    """As with_hubs, also with the hubs' own rows, and whatever the lengths; for cells with several values of `alone`."""
-    cells = F.explode(length_cells(least)).alias("at")
-    near = members.select(*by, "node", "n", *extra, cells).select(F.xxhash64(*by, "at").alias("cell"), "node", "n", *extra)
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", *extra)).alias("hub")
-    hubs = near.groupBy("cell").agg(first, F.count(F.lit(1)).alias("rows"), F.min(alone).alias("low"), F.max(alone).alias("high")).where("low != high")
-    names = [F.col("hub.n").alias("hub_n"), *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in extra]]
-    hubs = steps.write(hubs.select("cell", *names, F.col("hub.node").alias("hub"), "rows"))
+
+def with_hubs(members: DataFrame, least: float, steps: Steps) -> DataFrame:
+    """node, n, hub and hub_n of members(bucket, node, n) that share a bucket with others of about their length: the hub is
+    the one of each cell that hub_order() puts first."""
+    near = in_cells(members, least)
+    hubs = near.groupBy("cell").agg(F.min(F.struct(hub_order(), "node", "n")).alias("hub"), F.count(F.lit(1)).alias("rows"), F.min("node").alias("low"), F.max("node").alias("high"))
+    hubs = steps.write(hubs.where("low != high").select("cell", F.col("hub.n").alias("hub_n"), F.col("hub.node").alias("hub"), "rows"))
     total = hubs.agg(F.sum("rows")).first()[0] or 0
-    return salted_join(near, hubs.drop("rows"), "cell", hot_keys(hubs, "cell", total), "node")
+    return short_join(near, hubs.drop("rows"), "cell", hot_keys(hubs, "cell", total)).where("node != hub").where(alike_lengths(least))
 
 
 def merged(labels: DataFrame, found: DataFrame, steps: Steps) -> DataFrame:
     """The labels (smallest nodes of the components) once the links found(node, hub) are added: only classes are joined."""
+    if found.count() <= FEW_LINKS:
+        return merged_few(labels, found, steps)
     new = found.select("node").union(found.select(F.col("hub"))).distinct().join(labels, "node", "left_anti")
     labels = steps.write(labels.union(new.select("node", F.col("node").alias("label"))))
     hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("other"))
     edges = found.join(labels, "node").join(hubs, "hub").where("label != other").select(F.col("label").alias("node"), F.col("other").alias("hub"))
-    above = components(steps.write(condensed(edges)), steps).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    moved = salted_join(labels, above, "label", hot_keys_of(labels, "label"), "node", "left")
+    above = components(steps.write(edges), steps).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = short_join(labels, above, "label", hot_keys_of(labels, "label"), "left")
     return steps.write(moved.select("node", F.coalesce("top", "label").alias("label")))
 
 
-def untested(met: DataFrame, steps: Steps) -> DataFrame:
-    """node and n of the texts that share a cell of met, a written table of grouped(.., "label"), with one of another class
-    that they were not compared with. All but the hub were compared with the hub alone, so two others have to differ."""
-    others = met.where("node != hub")
-    facts = others.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
-    several = steps.write(facts.where("low != high").select("cell", "rows"))
-    total = several.agg(F.sum("rows")).first()[0] or 0
-    return salted_join(others, several.select("cell"), "cell", hot_keys(several, "cell", total), "node").select("node", "n").distinct()
+def merged_few(labels: DataFrame, found: DataFrame, steps: Steps) -> DataFrame:
+    """As merged(), of links that the driver holds."""
+    spark, (ones, others) = labels.sparkSession, columns_of(found.select("node", "hub"))
+    ends = {*ones, *others}
+    label = dict(zip(*columns_of(labels.join(F.broadcast(local_table(spark, node=ends)), "node", "left_semi").select("node", "label")), strict=True))
+    top = rooted((label.get(a, a), label.get(b, b)) for a, b in zip(ones, others, strict=True))
+    new = [x for x in ends if x not in label]
+    above = F.broadcast(local_table(spark, label=top.keys(), top=top.values()))
+    moved = labels.union(local_table(spark, node=new, label=new)).join(above, "label", "left")
+    return steps.write(moved.select("node", F.coalesce("top", "label").alias("label")))
 
 
 def opened(members: DataFrame, labels: DataFrame, hot: list, least: float, steps: Steps) -> DataFrame:
-    """node and n of the members of open buckets: the cells are those of the first comparison, with its hubs."""
+    """node and n of the members that share a cell with one of another class that they were not compared with: all but the
+    hub were compared with the hub alone, so two others have to differ. That is so with three classes, or with two if the
+    hub isn't alone in its own. hot: the hot buckets."""
     each = steps.write(members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
     first = steps.n
     several = each.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    each = steps.write(salted_join(each, several.select("bucket"), "bucket", hot, "node"))
+    each = steps.write(short_join(each, several.select("bucket"), "bucket", hot))
     steps.drop(first)
-    met = steps.write(grouped(each, ["bucket"], least, steps, "label", alone="label"))
-    last = steps.n
-    out = steps.write(untested(met, steps))
-    for n in range(first + 1, last + 1):
-        steps.drop(n)
+    near = in_cells(each, least, "label")
+    classes = near.groupBy("cell", "label").agg(F.min(F.struct(hub_order(), "node")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    facts = classes.groupBy("cell").agg(F.min(F.struct("first", "rows")).alias("hub"), F.count(F.lit(1)).alias("classes"), F.sum("rows").alias("rows"))
+    open_cells = steps.write(facts.where("classes > 2 OR classes = 2 AND hub.rows > 1").select("cell", "rows", F.col("hub.first.node").alias("hub")))
+    total = open_cells.agg(F.sum("rows")).first()[0] or 0
+    met = short_join(near, open_cells.drop("rows"), "cell", hot_keys(open_cells, "cell", total))
+    out = steps.write(met.where("node != hub").select("node", "n").distinct())
+    steps.drop(first + 1)
     return out
 
 
@@ -559,13 +617,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     members = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     crowded = steps.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     hot = hot_keys(crowded, "bucket", nodes.count() * n_sketches)
-    members = steps.write(salted_join(members, crowded.select("bucket"), "bucket", hot, "node"))
+    members = steps.write(short_join(members, crowded.select("bucket"), "bucket", hot))
     steps.drop(at)
     wanted = members.select("node").distinct().join(keys, "node")
     texts = steps.write(word_rows(docs, steps.write(wanted), key, text))
-    tested = steps.write(with_hubs(members, ["bucket"], least, steps).select("node", "hub").distinct())
+    tested = steps.write(with_hubs(members, least, steps).select("node", "hub").distinct())
     links = steps.write(aligned(tested, texts, least))
-    labels = components(steps.write(condensed(links)), steps)
+    labels = components(links, steps)
     left = opened(members, labels, hot, least, steps)
     held, turn = steps.write(texts.join(left, "node").select("node", "n", "words")), 0
     counts, taking = word_counts(held), held
@@ -576,23 +634,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         at = steps.n
         met = steps.write(met_again(each, least, turn + 1))
         again = steps.n
-        still = steps.write(met.where("hub is null").select("node").distinct())
-        met = met.where("hub is not null").distinct()
-        pairs = steps.write(met.select("*", *ends).join(tested.select(*ends), ["low", "high"], "left_anti").select("node", "hub"))
-        found = steps.write(aligned(pairs, held, least))
-        if found.limit(1).count() == 0:
+        every = met.select(*ends, F.lit(False).alias("old")).union(tested.select(*ends, F.lit(True)))  # low = high: no hub
+        once = steps.write(every.groupBy("low", "high").agg(F.max("old").alias("old")).where("not old").select("low", "high"))
+        still = once.where("low = high").select(F.col("low").alias("node"))
+        pairs = once.where("low != high").select(F.col("low").alias("node"), F.col("high").alias("hub"))
+        few = 4 * (each.agg(F.sum("n")).first()[0] or 0) <= FEW_BYTES
+        found = steps.write(aligned(pairs, taking, least, few))
+        if found.count() == 0:
             break
         links, tested, turn = links.union(found), tested.union(pairs), turn + 1
         labels = merged(labels, found, steps)
         steps.drop(at)
         steps.drop(again)
-        taking = held.join(still, "node", "left_semi")
+        taking = held.join(F.broadcast(still) if still.count() <= FEW_LINKS else still, "node", "left_semi")
     ends = links.select("node").union(links.select("hub")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = steps.write(labels.join(ends, "node").join(keys, "node"))
     named = labels.groupBy("label").agg(F.min("key").alias("class_id"))
-    linked = salted_join(labels.select("node", "label", "links"), named, "label", hot_keys_of(labels, "label"), "node")
+    linked = short_join(labels.select("node", "label", "links"), named, "label", hot_keys_of(labels, "label"))
     own = F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id")
     classes = keys.join(linked, "node", "left").select("node", "rows", F.coalesce("label", "node").alias("label"), own, F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     classes = steps.write(classes)
     copied = hot_keys(classes, "node", rows.count())
-    return steps.result(salted_join(rows, classes.drop("rows"), "node", copied, "key").select(*keep), "classes")
+    return steps.result(short_join(rows, classes.drop("rows"), "node", copied).select(*keep), "classes")

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parcela.llm import order_minhash as o
+from parcela.llm.common import Steps
 from tests_llm_helpers import all_pairs_classes
 
 
@@ -184,3 +185,59 @@ def test_packed_sketches_match_brute_force():
     for xs in (xs for xs in cells.values() if len(xs) > o.PAIRED):
         inside = [x for x in xs if x["node"].tobytes() in stays]
         assert len({x["label"] for x in xs}) < 3 or len(inside) >= len(xs) - 1
+
+
+def digest_of(i):
+    return hashlib.blake2b(str(i).encode(), digest_size=16).digest()
+
+
+def test_few_links_are_joined_without_shuffles(spark):
+    """Classes are joined by the driver; the labels stay where they are. A job has several stages if it shuffles: only the
+    count of the links does."""
+    steps = Steps(spark, "test")
+    low = sorted(digest_of(i) for i in range(9))
+    labels = steps.write(spark.createDataFrame([(low[i], low[i // 2 * 2]) for i in range(6)], "node binary, label binary"))
+    found = steps.write(spark.createDataFrame([(low[5], low[1]), (low[8], low[3]), (low[7], low[6])], "node binary, hub binary"))
+    context = spark.sparkContext
+    context.setJobGroup("few links", "")
+    try:
+        got = o.merged(labels, found, steps)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    jobs = tracker.getJobIdsForGroup("few links")
+    assert sum(len(tracker.getJobInfo(j).stageIds) > 1 for j in jobs) == 1
+    want = {low[0]: 0, low[1]: 0, low[4]: 0, low[5]: 0, low[2]: 2, low[3]: 2, low[8]: 2, low[6]: 6, low[7]: 6}
+    assert {bytes(r.node): low.index(bytes(r.label)) for r in got.collect()} == want
+
+
+def test_many_links_and_texts_give_the_same(documents, monkeypatch):
+    rows, want = planted(4)
+    docs = documents([(i, t, "en", "a") for i, t in rows])
+    few = sorted((r.key, r.class_id, r.links) for r in o.near_duplicates(docs).collect())
+    monkeypatch.setattr(o, "FEW_LINKS", 0)
+    monkeypatch.setattr(o, "FEW_BYTES", 0)
+    monkeypatch.setattr(o, "HOT_ROWS", 3)
+    many = sorted((r.key, r.class_id, r.links) for r in o.near_duplicates(docs).collect())
+    assert few == many and {k: c for k, c, _ in few} == want
+
+
+def test_open_cells_match_brute_force(spark):
+    """Untested are the members of a cell other than its hub, if two of them differ in their class."""
+    rng = random.Random(6)
+    members = sorted({(rng.randrange(40), rng.randrange(90)) for _ in range(300)})
+    words, label = {i: rng.randint(20, 60) for i in range(90)}, {i: i % rng.choice([2, 3, 90]) for i in range(90)}
+    rows = spark.createDataFrame([(b, digest_of(i), words[i]) for b, i in members], "bucket long, node binary, n int")
+    labels = spark.createDataFrame([(digest_of(i), digest_of(label[i])) for i in range(80)], "node binary, label binary")
+    place = {bytes(r.node): r.order for r in rows.select("node", o.hub_order()).collect()}
+    cells = {}
+    for b, i in members:
+        for grid in (0, 1):
+            cells.setdefault((b, grid, int(np.floor((np.log(words[i]) / -np.log(0.8) + grid) / 2))), set()).add(i)
+    want = set()
+    for cell in cells.values():
+        others = cell - {min(cell, key=lambda i: (place[digest_of(i)], digest_of(i)))}
+        if len({label[i] if i < 80 else i for i in others}) > 1:
+            want |= others
+    for hot in ([], [0, 1, 2]):
+        assert {bytes(r.node) for r in o.opened(rows, labels, hot, 0.8, Steps(spark, "test")).collect()} == {digest_of(i) for i in want}
